@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .line_dedup import ascii_lower
 from .staging import staged
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Between words; of A-Z and a-z alike, as it is applied before or after lower-casing.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 GRAM = 5
 #: Benchmark fingerprints up to this many are compared within the scan, and windows up to ten times as many are broadcast; more are joined.
@@ -27,7 +28,7 @@ SMALL = 20_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def let(value: Column, body) -> Column:
@@ -35,25 +36,36 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def grams(w: Column, n: int) -> Column:
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def grams(h: Column, n: int) -> Column:
+    """A hash of every n consecutive word hashes."""
+    return F.transform(_starts(h, n), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(n))))
+
+
+def _none() -> Column:
+    return F.array().cast("array<int>")
 
 
 def _starts(w: Column, n: int) -> Column:
-    return F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(_none())
 
 
 def fingerprint(g: Column, i: Column, span: int) -> Column:
     """The hash that winnowing keeps of the window that begins at gram i."""
-    return F.array_min(F.slice(g, i + 1, F.lit(span)))
+    return F.least(*(F.get(g, i + k) for k in range(span))) if span > 1 else F.get(g, i)
 
 
 def item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
     """item_id, n (words), win (the words), kept (the fingerprint, or the hash of a short item) of each distinct window."""
     span = window - gram + 1
     base = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    full = F.transform(_starts(F.col("w"), window), lambda i: F.struct(F.lit(window).alias("n"), F.array_join(F.slice("w", i + 1, F.lit(window)), " ").alias("win"), fingerprint(grams(F.slice("w", i + 1, F.lit(window)), gram), F.lit(0), span).alias("kept")))
-    short = F.array(F.struct(F.size("w").alias("n"), F.array_join("w", " ").alias("win"), F.xxhash64("w").alias("kept")))
+    full = F.transform(_starts(F.col("w"), window), lambda i: F.struct(F.lit(window).alias("n"), F.array_join(F.slice("w", i + 1, F.lit(window)), " ").alias("win"), let(grams(word_hashes(F.slice("w", i + 1, F.lit(window))), gram), lambda g: fingerprint(g, F.lit(0), span)).alias("kept")))
+    # A short item's only gram has all its words.
+    whole = F.coalesce(*(F.when(F.size("w") == n, grams(word_hashes(F.col("w")), n)[0]) for n in range(1, window)))
+    short = F.array(F.struct(F.size("w").alias("n"), F.array_join("w", " ").alias("win"), whole.alias("kept")))
     return base.select("item_id", F.explode(F.when(F.size("w") >= window, full).otherwise(short)).alias("x")).select("item_id", "x.*").distinct()
 
 
@@ -61,15 +73,16 @@ def _in(value: Column, kept: list[int]) -> Column:
     return value.isin(kept) if kept else F.lit(False)
 
 
-def candidates(w: Column, kept: dict[int, list[int]] | None, lengths: list[int], window: int, gram: int, suspect: Column) -> Column:
+def candidates(w: Column, h: Column, kept: dict[int, list[int]] | None, lengths: list[int], window: int, gram: int, suspect: Column) -> Column:
     """array<struct<pos, n, win>>: the document windows that may be an item's; with ``kept`` None, all of a suspect's."""
     def of_length(n: int) -> Column:
         if kept is None:
-            at = F.when(suspect, _starts(w, n)).otherwise(F.array().cast("array<int>"))
+            at = F.when(suspect, _starts(w, n)).otherwise(_none())
         elif n == window:
-            at = let(grams(w, gram), lambda g: F.filter(_starts(w, window), lambda i: _in(fingerprint(g, i, window - gram + 1), kept[window])))
+            # A fingerprint is a gram: where none of the grams is the benchmark's, no window need be winnowed.
+            at = let(grams(h, gram), lambda g: F.when(F.exists(g, lambda x: _in(x, kept[window])), F.filter(_starts(w, window), lambda i: _in(fingerprint(g, i, window - gram + 1), kept[window]))).otherwise(_none()))
         else:
-            at = F.filter(_starts(w, n), lambda i: _in(F.xxhash64(F.slice(w, i + 1, F.lit(n))), kept[n]))
+            at = let(grams(h, n), lambda g: F.filter(_starts(w, n), lambda i: _in(F.get(g, i), kept[n])))
         return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("win")))
 
     nothing = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("win")))
@@ -90,7 +103,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         source = docs.withColumn("suspect", F.lit(True))
     else:
         source = _suspects(docs, wins, row, lengths, window, gram)
-    found = source.select(*row, let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), candidates(w, kept, lengths, window, gram, F.coalesce("suspect", F.lit(False))).alias("c"))).alias("d"))
+    found = source.select(*row, let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), let(word_hashes(w), lambda h: candidates(w, h, kept, lengths, window, gram, F.coalesce("suspect", F.lit(False)))).alias("c"))).alias("d"))
     found = found.select("doc_id", "th1", "th2", "d.n_words", F.explode("d.c").alias("c")).select("doc_id", "th1", "th2", "n_words", "c.pos", "c.n", "c.win")
     of_items = wins.select("win", "item_id")
     if few and of_items.limit(10 * small + 1).count() <= 10 * small:
@@ -112,14 +125,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 def _suspects(docs: DataFrame, wins: DataFrame, row: list[Column], lengths: list[int], window: int, gram: int) -> DataFrame:
     """``docs`` with ``suspect``: whether a fingerprint is the benchmark's, found by a join of fingerprints."""
 
-    def of_length(w: Column, n: int) -> Column:
-        hashes = let(grams(w, gram), lambda g: F.transform(_starts(w, window), lambda i: fingerprint(g, i, window - gram + 1))) if n == window else grams(w, n)
-        return F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(n).alias("n"), h.alias("kept")))
+    def of_length(h: Column, n: int) -> Column:
+        hashes = let(grams(h, gram), lambda g: F.transform(_starts(h, window), lambda i: fingerprint(g, i, window - gram + 1))) if n == window else grams(h, n)
+        return F.transform(F.array_distinct(hashes), lambda x: F.struct(F.lit(n).alias("n"), x.alias("kept")))
 
-    def all_kept(w: Column) -> Column:
-        return F.concat(F.array().cast("array<struct<n:int,kept:bigint>>"), *(of_length(w, n) for n in lengths))
+    def all_kept(h: Column) -> Column:
+        return F.concat(F.array().cast("array<struct<n:int,kept:bigint>>"), *(of_length(h, n) for n in lengths))
 
-    prints = docs.select(*row, F.explode(let(words(F.col("text")), all_kept)).alias("f")).select("doc_id", "th1", "th2", "f.*")
+    prints = docs.select(*row, F.explode(let(word_hashes(words(F.col("text"))), all_kept)).alias("f")).select("doc_id", "th1", "th2", "f.*")
     shared = prints.join(wins.select("n", "kept").distinct(), ["n", "kept"], "left_semi").select("doc_id", "th1", "th2").distinct()
     keyed = docs.select("*", *[c.alias(a) for c, a in zip(row, ("__d", "__t1", "__t2"))])
     match = [F.col("__d").eqNullSafe(F.col("__sd")), F.col("__t1").eqNullSafe(F.col("th1")), F.col("__t2").eqNullSafe(F.col("th2"))]
