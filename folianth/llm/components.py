@@ -1,0 +1,29 @@
+"""Connected components by smallest label, in DataFrame operations over staged tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .staging import staged
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, root) for each node of the undirected ``edges`` (a, b): the smallest node that it reaches.
+
+    Each round takes the smallest label over a node's edges, then follows labels of labels, so the
+    rounds grow with the logarithm of the longest path. Only counts come to the driver. Any
+    orderable type may name the nodes; loops and repeated edges change nothing.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = staged(both, "edges")
+    labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    for _ in range(max_rounds):
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
+        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("was"), F.least("root", "m").alias("mid"))
+        up = labels.select(F.col("node").alias("mid"), F.col("root").alias("top"))
+        new = staged(lower.join(up, "mid", "left").select("node", "was", F.least(F.col("mid"), F.coalesce("top", "mid")).alias("root")), "labels")
+        labels = new.select("node", "root")
+        if new.where("was <> root").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, tiff, winnow
+from . import langid, line_dedup, ngram_join, tiff, winnow
 from .staging import table
 
 
@@ -33,11 +33,16 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op8_media_columns": op8_media_columns,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
