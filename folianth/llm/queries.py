@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, ngram_join, tiff, winnow
+from . import crf_quality, langid, line_dedup, ngram_join, tiff, toxicity, winnow
 from .staging import table
 
 
@@ -14,6 +14,12 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(3) == 1).alias("held_out"))
+    model = crf_quality.train(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
+    return crf_quality.score(docs, model, keep=("doc_id", "held_out"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,12 +43,20 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(5) == 0).alias("held_out"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    return toxicity.score(docs, model, keep=("doc_id", "held_out"))
+
+
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op8_media_columns": op8_media_columns,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
