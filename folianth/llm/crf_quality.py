@@ -156,14 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit(np.concatenate([c for c, _ in chains]), np.repeat([y for _, y in chains], np.diff(begin)), begin)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, score double, predicted int."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``keep`` (may hold the text), score double, predicted int; ``names`` names the last two."""
     width = len(keep)
+    at_text = list(keep).index(text) if text in keep else width
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
         for batch in batches:
-            data, at = K.string_bytes(batch.column(width))
+            data, at = K.string_bytes(batch.column(at_text))
             if sent.value is None:
                 p = np.full(batch.num_rows, 0.5)
             else:
@@ -179,11 +180,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text: st
                 weight = (np.concatenate(sizes) if sizes else np.zeros(0)) + 1e-3  # so that empty lines alone have a mean
                 p = K.segment_sum(good * weight, begin) / np.maximum(K.segment_sum(weight, begin), 1e-12)
             p = np.clip(p, 0.0, 1.0)
-            yield K.with_columns(batch, list(keep), score=p, predicted=(p >= 0.5).astype(np.int32))
+            yield K.with_columns(batch, list(keep), **dict(zip(names, (p, (p >= 0.5).astype(np.int32)))))
 
-    picked = docs.select(*keep, docs[text].alias("__text"))
+    picked = docs.select(*keep) if text in keep else docs.select(*keep, docs[text].alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:width])
-    return picked.mapInArrow(work, f"{fields}, score double, predicted int")
+    return picked.mapInArrow(work, f"{fields}, `{names[0]}` double, `{names[1]}` int")
 
 
 def accuracy(scored: pd.DataFrame, truth: pd.DataFrame, label: str) -> dict[str, float]:
