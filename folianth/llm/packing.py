@@ -148,7 +148,8 @@ def cutting_stock(lengths: np.ndarray, demand: np.ndarray, size: int = SEQUENCE,
     n = len(lengths)
     basis = np.diag(size // lengths).astype(np.float64)  # columns are patterns
     inverse = np.diag(1.0 / np.diag(basis)) if n else basis
-    amount = inverse @ demand
+    times_ = lambda a, b: np.einsum("ij,j...->i...", a, b)  # noqa: E731  small, and threads of a matrix library would wait for busy cores
+    amount = times_(inverse, demand)
     bound = float((lengths * demand).sum()) / size
     for k in range(rounds):
         if amount.sum() <= bound * (1 + gap):
@@ -157,17 +158,16 @@ def cutting_stock(lengths: np.ndarray, demand: np.ndarray, size: int = SEQUENCE,
         value, column = knapsack(lengths, worth, size)
         if value <= 1 + 1e-9:
             break
-        along = inverse @ column
+        along = times_(inverse, column)
         ratio = np.where(along > 1e-11, amount / np.where(along > 1e-11, along, 1), np.inf)
         out = int(np.argmin(ratio))
         basis[:, out] = column
-        if k % 50 == 49:
-            inverse = np.linalg.inv(basis)
-        else:
-            row = inverse[out] / along[out]
-            inverse -= np.outer(along, row)
-            inverse[out] = row
-        amount = np.maximum(0, inverse @ demand)
+        row = inverse[out] / along[out]
+        inverse -= np.outer(along, row)
+        inverse[out] = row
+        if k % 50 == 49:  # a Newton step against what rounding has added up
+            inverse += times_(inverse, np.eye(n) - times_(basis, inverse))
+        amount = np.maximum(0, times_(inverse, demand))
     patterns, times = np.rint(basis.T).astype(np.int64), np.floor(amount + 1e-7).astype(np.int64)
     full = (patterns @ lengths == size) & (times > 0)
     patterns, times = patterns[full], times[full]
