@@ -216,6 +216,14 @@ def _sides(t: pa.Table) -> tuple[pa.Table, pa.Table, bool]:
     return t.take(np.flatnonzero(side == 0)), t.take(np.flatnonzero(side == 1)), False
 
 
+def _by_name(names: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of class names and each one's place in it: the least of a cluster is then the same one in every bucket."""
+    order = np.argsort(np.array(names.to_pylist(), object), kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return order, place
+
+
 def _joined(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
     return left if same else pa.concat_tables([left, right])
 
@@ -242,9 +250,10 @@ def candidate_clusters(reps: DataFrame, threshold: float, tolerance: float) -> D
         if not len(i):
             return None
         names = _joined(left, right, same)["cls"]
-        root = forest(len(names), i, j if same else j + left.num_rows)
+        order, place = _by_name(names)
+        root = forest(len(names), place[i], place[j if same else j + left.num_rows])
         tied = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": names.take(tied), "b": names.take(root[tied])})
+        return pa.table({"a": names.take(order[tied]), "b": names.take(order[root[tied]])})
 
     keys = ["bucket", "bi", "bj"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
@@ -331,12 +340,13 @@ def links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, row_id: str, te
         both = _joined(left, right, same)
         names, rows = both["cls"], both["rows"].to_numpy()
         j = j if same else j + left.num_rows
+        order, place = _by_name(names)
         n = np.zeros(len(names), np.int64)
         np.add.at(n, i, rows[j])
         np.add.at(n, j, rows[i])
-        root = forest(len(names), i, j)
+        root = forest(len(names), place[i], place[j])[place]
         linked = np.flatnonzero(n)
-        return pa.table({"cls": names.take(linked), "other": names.take(root[linked]), "n": n[linked]})
+        return pa.table({"cls": names.take(linked), "other": names.take(order[root[linked]]), "n": n[linked]})
 
     keys = ["root", "bi", "bj"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
