@@ -40,12 +40,12 @@ _cyrillic = _by_rule({x: y for k, v in fixed.CYRILLIC.items() for x, y in ((k, v
 
 def _plain() -> tuple[str, str, dict[str, str]]:
     """What compatibility decomposition makes of letters, by rule."""
-    spans = ((0xA0, 0x250), (0x400, 0x530), (0x1E00, 0x1F00), (0x2150, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+    spans = ((0xC0, 0x250), (0x400, 0x530), (0x1E00, 0x1F00), (0xFB00, 0xFB07), (0xFF21, 0xFF5B))
     found = {}
     for a, b in spans:
         for ch in map(chr, range(a, b)):
             out = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
-            if out != ch and ch == ch.lower():
+            if out != ch and ch == ch.lower() and ch.isalpha():
                 found[ch] = out
     return _by_rule(found)
 
@@ -56,9 +56,20 @@ _composed = {unicodedata.normalize("NFD", x): x for x in "ЙйЁё"}
 _composed |= {unicodedata.normalize("NFD", x): x for x in "čćšžČĆŠŽ"}
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once, and ``body`` called rather than written into the generated code.
+
+    Dozens of nested replacements, copied wherever a filter is pushed down, would pass the size limit of a method.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def latin(c: Column | str) -> Column:
     """Cyrillic spelt in Latin letters, and the letters of Serbian composed."""
-    out = col(c)
+    return once(col(c), _latin)
+
+
+def _latin(out: Column) -> Column:
     for apart, whole in _composed.items():
         out = _replace(out, apart, whole)
     src, dst, more = _cyrillic
@@ -68,7 +79,11 @@ def latin(c: Column | str) -> Column:
 
 
 def fold(c: Column | str) -> Column:
-    out = F.lower(_replace(_replace(latin(c), "đ", "dj"), "Đ", "Dj"))
+    return once(col(c), _fold)
+
+
+def _fold(out: Column) -> Column:
+    out = F.lower(_replace(_replace(_latin(out), "đ", "dj"), "Đ", "Dj"))
     src, dst, more = _folding
     for k, v in more.items():
         out = _replace(out, k, v)
@@ -81,7 +96,11 @@ def tokens(c: Column | str) -> Column:
 
 def key(c: Column | str) -> Column:
     """Sorted tokens: one identity for any order of the words."""
-    return F.array_join(F.array_sort(tokens(c)), " ")
+    return key_of(tokens(c))
+
+
+def key_of(t: Column | str) -> Column:
+    return F.array_join(F.array_sort(t), " ")
 
 
 def one_space(c: Column) -> Column:
@@ -158,8 +177,11 @@ def without_credits(folded: Column | str) -> Column:
 
 
 def first_name(c: Column | str) -> Column:
-    t = tokens(c)
-    return F.when(F.size(t) >= 2, t[0]).otherwise("")
+    return first_of(tokens(c))
+
+
+def first_of(t: Column | str) -> Column:
+    return F.when(F.size(t) >= 2, F.element_at(t, 1)).otherwise("")
 
 
 def like_title(c: Column | str, title: Column | str) -> Column:

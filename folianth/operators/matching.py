@@ -92,9 +92,13 @@ def canonical_spellings(names: DataFrame) -> DataFrame:
     tied = components(edges)
     placed = groups.join(tied, groups["key"] == tied["node"], "left").withColumn("root", F.coalesce("root", "key"))
 
+    def rank(row) -> tuple:
+        place = row.place
+        return -row.n, tuple(place.values()) if isinstance(place, dict) else tuple(place) if isinstance(place, tuple) else place
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         people: list[dict[str, int]] = []
-        for row in pdf.sort_values(["n", "place"], ascending=[False, True]).itertuples():
+        for row in sorted(pdf.itertuples(), key=rank):
             counts = {s["name"]: int(s["n"]) for s in row.spellings}
             home = next((p for p in people if any(same_person(row.first, x) for x in p)), None)
             if home is None:

@@ -103,7 +103,7 @@ def with_priors(records: DataFrame, prior: DataFrame, given: DataFrame) -> DataF
     Equi-joins on the names; nothing that grows with the library is broadcast.
     """
     names = records.select("path", F.explode(F.array_union(F.transform("candidates", lambda c: c["name"]), F.flatten("groups"))).alias("name"))
-    keyed = names.select("path", C.key("name").alias("key"), C.first_name("name").alias("given"))
+    keyed = names.select("path", C.tokens("name").alias("t")).select("path", C.key_of("t").alias("key"), C.first_of("t").alias("given"))
     keys = keyed.join(prior.where("n >= 3").select("key"), "key", "left_semi").groupBy("path").agg(F.collect_set("key").alias("known_keys"))
     trusted = keyed.join(given, "given", "left_semi").groupBy("path").agg(F.collect_set("given").alias("known_given"))
     out = records.join(keys, "path", "left").join(trusted, "path", "left")
