@@ -53,7 +53,7 @@ def place(jobs: DataFrame, out_root: str, taken: DataFrame | None = None) -> Dat
     aside = F.concat_ws("/", F.lit(out_root), F.lit("_Duplicates"), "__folder", "__file")
     plan = plan.withColumn("__dest", F.when(duplicate, aside).otherwise(F.col("__want")))
     plan = unique_destinations(plan, "__dest", ["path"], "dest")
-    known = F.col("format").isin(*KEPT, *CONVERTED)
+    known = F.coalesce(F.col("format").isin(*KEPT, *CONVERTED), F.lit(False))
     return plan.select(
         "path", "original", "author", "coauthors", "title", "format",
         F.when(known, F.col("dest")).alias("dest"),

@@ -20,7 +20,7 @@ CACHE = "file_key string, field string, value string"
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """rule_pos (file order: the first rule wins), from, to, kind (name or file)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("rule_pos", "line")).where("rule_pos > 0")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("rule_pos", "line")).where("rule_pos > 0")
     row = F.from_csv("line", F.lit("`from` string, `to` string"))
     rules = lines.select("rule_pos", row.alias("r")).select("rule_pos", F.trim("r.from").alias("raw"), F.trim("r.to").alias("to"))
     rules = rules.where((F.coalesce("raw", F.lit("")) != "") & ~F.col("raw").startswith("#"))
