@@ -307,3 +307,24 @@ def listing(files: DataFrame, root: str) -> DataFrame:
     """path of placed books: epub and pdf files under ``root``, but not in top folders that begin with an underscore."""
     below = F.substring("path", F.lit(len(root.rstrip("/")) + 2), F.length("path"))
     return files.where(F.lower("path").rlike(r"\.(epub|pdf)$") & F.col("path").startswith(root.rstrip("/") + "/") & ~below.startswith("_")).select("path")
+
+
+#: Characters that a converted epub must hold among its first 2000.
+LEAST_TEXT = 200
+
+
+@F.pandas_udf(T.StringType())
+def epub_problem(data: pd.Series) -> pd.Series:
+    """What is wrong with a converted epub, or null: not a zip, a damaged member, or almost no text."""
+    def one(d):
+        z = None if d is None else _open(bytes(d))
+        if z is None:
+            return "not a valid zip"
+        try:
+            if z.testzip() is not None:
+                return "damaged"
+        except (zipfile.BadZipFile, zlib.error, RuntimeError, OSError):
+            return "damaged"
+        return None if len(epub_text(bytes(d), 2000).strip()) >= LEAST_TEXT else "almost no text"
+
+    return data.map(one)

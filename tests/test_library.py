@@ -307,3 +307,55 @@ def test_accuracy_and_folder_vote(spark):
 def test_components(spark):
     df = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("z", "z")], "a string, b string")
     assert {r.node: r.root for r in components(df).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_replies(spark):
+    from folianth.operators import providers as P
+
+    replies = ['{"author": " Ana Lee "}', '{"author": null}', "no json", '{"choice": 2}', '{"choice": -1}', '{"choice": 9}', '{"genres": ["SF", "Drama"]}', '{"genre": "SF"}', '{"genres": "SF"}', None]
+    df = spark.createDataFrame([(str(i), r) for i, r in enumerate(replies)], "path string, reply string")
+    options = F.array(F.lit("A"), F.lit("B"))
+    got = df.select(P.author_of(F.col("reply")).alias("a"), P.choice_of(F.col("reply"), options).alias("c"), P.genres_of(F.col("reply")).alias("g")).collect()
+    assert [r.a for r in got] == ["Ana Lee"] + [None] * 9
+    assert [r.c for r in got] == [None, None, None, "B"] + [None] * 6
+    assert [r.g for r in got][6:] == [["SF", "Drama"], ["SF"], ["SF"], []]
+    prompts = df.limit(2).select("path", P.author_prompt(F.col("path"), F.lit("f"), F.lit(None).cast("string"), F.lit("t"), F.lit("")).alias("prompt"))
+
+    def provider(prompt):
+        if "File: 0" in prompt:
+            return '{"author": "X"}'
+        raise ValueError("down")
+
+    out = {r.path: (r.reply, r.error) for r in P.ask(prompts, provider).collect()}
+    assert out["0"] == ('{"author": "X"}', None) and out["1"][0] is None and "down" in out["1"][1]
+
+
+def test_executors_carry_out_plans(spark, tmp_path):
+    from folianth.plans import executors
+
+    src = tmp_path / "in" / "a.epub"
+    src.parent.mkdir()
+    src.write_bytes(b"x")
+    out = str(tmp_path / "out")
+    jobs = spark.createDataFrame([(str(src), str(src), "A B", None, "T", "epub"), (str(tmp_path / "no.epub"), "", "A B", None, "U", "epub"), (str(src) + "2", "", "A B", None, "V", "rtf")], "path string, original string, author string, coauthors array<string>, title string, format string")
+    done = {r.path: (r.status, r.error) for r in executors.place(actions.place(jobs, out), convert=lambda a, b: "no", tag=lambda *a: None).collect()}
+    assert done[str(src)] == ("done", None) and os.path.exists(f"{out}/A B/A B - T.epub")
+    assert done[str(tmp_path / "no.epub")][0] == "failed" and done[str(src) + "2"] == ("failed", "no")
+    moved = executors.move(spark.createDataFrame([(str(src), f"{out}/_Originals/a.epub"), (str(src), f"{out}/A B/A B - T.epub")], "src string, `to` string")).collect()
+    assert [r.error is None for r in moved] == [True, False] and os.path.exists(f"{out}/_Originals/a.epub")
+
+
+def test_converted_epubs_are_checked(spark):
+    df = spark.createDataFrame([(bytearray(epub()),), (bytearray(epub(body="")),), (bytearray(b"PK"),), (None,)], "c binary")
+    assert [r.p for r in df.select(files.epub_problem("c").alias("p")).collect()] == [None, "almost no text", "not a valid zip", "not a valid zip"]
+
+
+def test_command_line(spark, tmp_path):
+    from folianth import cli
+
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib" / "Ana Lee - One.epub").write_bytes(epub("One", "Ana Lee"))
+    assert cli.main(["scan", "--library", str(tmp_path / "lib"), "--report", str(tmp_path / "r")]) == 0
+    (tmp_path / "out").mkdir()
+    assert cli.main(["apply", "--report", str(tmp_path / "r"), "--output", str(tmp_path / "out"), "--plan", str(tmp_path / "plan")]) == 0
+    assert spark.read.parquet(str(tmp_path / "plan")).first().status == "done"
