@@ -16,6 +16,8 @@ gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from typing import NamedTuple
 
@@ -29,8 +31,8 @@ from .staging import staged
 SEQUENCE = 4096
 QUANTUM = 64
 CLOSING_ID = 2
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Chunks, and words, whose ids a worker remembers in a generation.
+REMEMBERED = 250_000
 #: Pieces of one length that are ranked together, about.
 RANKED = 1000
 #: Cut pieces up to this many are broadcast to find their documents.
@@ -39,18 +41,49 @@ SMALL = 5000
 _encoders: dict[str, Encoder] = {}
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Remembered(dict):
+    """A function's results, in two generations: when the young are ``limit`` they become the old, and the old go."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self._make, self._limit, self._old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._old.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(self) >= self._limit:
+            self._old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of a text, as bytes of unsigned 32-bit integers.
 
-    The tokenizer drops white space and no id spans it, so chunks between blanks are encoded apart and remembered.
+    The tokenizer drops white space and no id spans it, so chunks between blanks are encoded apart. In a
+    chunk of letters up to U+00FF and ASCII marks after them, it parts the letters from the marks and its
+    normaliser only lower-cases, so there its model is asked directly, and words are remembered
+    without their marks. Every other chunk takes the tokenizer's whole way.
     """
 
+    _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {"": b""}
+        self._model = self._tokenizer.model
+        letters = [chr(x) for x in (*range(0xDF, 0xF7), *range(0xF8, 0x100))]
+        self._bytes = str.maketrans({x: self._tokenizer.pre_tokenizer.pre_tokenize_str(x)[0][0] for x in letters})
+        self._words = _Remembered(self._word, REMEMBERED)
+        self._chunks = _Remembered(self._chunk, REMEMBERED)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -58,20 +91,22 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
+    def _whole(self, chunk: str) -> bytes:
+        return _pack(self._tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        return _pack([t.id for t in self._model.tokenize(word if word.isascii() else word.translate(self._bytes))])
+
+    def _chunk(self, chunk: str) -> bytes:
+        m = self._plain.fullmatch(chunk)
+        if not m:
+            return self._whole(chunk) if chunk else b""
+        ids = self._words[m[1].lower()]
+        return ids + self._words[m[2]] if m[2] else ids
+
     def ids(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        known = self._known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        new = list({c for c in chunks if c not in known})
-        for c, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+        known = self._chunks
+        return b"".join([known[c] for c in text.replace("\n", " ").split(" ")])
 
 
 def tokenizer_path() -> str:
@@ -80,7 +115,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_CLOSE = np.array([CLOSING_ID], "<u4").tobytes()
+_CLOSE = _pack([CLOSING_ID])
 
 
 def cuts(n: int, sequence: int, quantum: int) -> list[tuple[int, int]]:
