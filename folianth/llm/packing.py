@@ -15,6 +15,7 @@ gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .staging import staged
 
 SEQUENCE = 4096
@@ -33,6 +35,8 @@ QUANTUM = 64
 CLOSING_ID = 2
 #: Chunks, and words, whose ids a worker remembers in a generation.
 REMEMBERED = 250_000
+#: Bytes of text in which repeated chunks are looked up once.
+SLICE = 8 << 20
 #: Pieces of one length that are ranked together, about.
 RANKED = 1000
 #: Cut pieces up to this many are broadcast to find their documents.
@@ -45,22 +49,21 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Remembered(dict):
-    """A function's results, in two generations: when the young are ``limit`` they become the old, and the old go."""
+class _Remembered:
+    """Results of a function of a string, in two generations: when the young are ``limit`` they become the old, and the old go."""
 
     def __init__(self, make, limit: int):
-        super().__init__()
-        self._make, self._limit, self._old = make, limit, {}
+        self._make, self._limit, self._young, self._old = make, limit, {}, {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self._old.get(key)
-        if value is None:
-            value = self._make(key)
-        if len(self) >= self._limit:
-            self._old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def of(self, keys: list[str]) -> list[bytes]:
+        young, old, make = self._young, self._old, self._make
+        for key in set(keys).difference(young):
+            value = old.get(key)
+            young[key] = make(key) if value is None else value
+        found = [young[k] for k in keys]
+        if len(young) > self._limit:
+            self._young, self._old = {}, young
+        return found
 
 
 class Encoder:
@@ -83,7 +86,7 @@ class Encoder:
         letters = [chr(x) for x in (*range(0xDF, 0xF7), *range(0xF8, 0x100))]
         self._bytes = str.maketrans({x: self._tokenizer.pre_tokenizer.pre_tokenize_str(x)[0][0] for x in letters})
         self._words = _Remembered(self._word, REMEMBERED)
-        self._chunks = _Remembered(self._chunk, REMEMBERED)
+        self._odd = _Remembered(self._whole, REMEMBERED)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -92,21 +95,40 @@ class Encoder:
         return _encoders[path]
 
     def _whole(self, chunk: str) -> bytes:
-        return _pack(self._tokenizer.encode(chunk, add_special_tokens=False).ids)
+        return _pack(self._tokenizer.encode(chunk, add_special_tokens=False).ids) if chunk else b""
 
     def _word(self, word: str) -> bytes:
-        return _pack([t.id for t in self._model.tokenize(word if word.isascii() else word.translate(self._bytes))])
-
-    def _chunk(self, chunk: str) -> bytes:
-        m = self._plain.fullmatch(chunk)
-        if not m:
-            return self._whole(chunk) if chunk else b""
-        ids = self._words[m[1].lower()]
-        return ids + self._words[m[2]] if m[2] else ids
+        return _pack([t.id for t in self._model.tokenize(word if word.isascii() else word.translate(self._bytes))]) if word else b""
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        parted = [m and m.groups() for m in map(self._plain.fullmatch, chunks)]
+        words = self._words.of([p[0].lower() for p in parted if p])
+        marks = self._words.of([p[1] for p in parted if p])
+        odd = self._odd.of([c for c, p in zip(chunks, parted) if not p])
+        word, other = map(bytes.__add__, words, marks), iter(odd)
+        return [next(word) if p else next(other) for p in parted]
+
+    def batch(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of bytes end to end, and where each row's begin. Equal chunks of the rows are encoded once."""
+        data = np.insert(data, at[1:], 10)  # every chunk ends with its blank
+        at = at + np.arange(len(at))
+        ends = np.flatnonzero((data == 32) | (data == 10)) + 1
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        distinct = parts.dictionary
+        _, place, raw = distinct.buffers()
+        last = int(np.frombuffer(place, np.int32)[len(distinct)])
+        pool = self.chunks(raw[:last].to_pybytes().decode().replace("\n", " ").split(" ")[:-1])
+        size = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+        flat, first = np.frombuffer(b"".join(pool), "<u4"), np.cumsum(size) - size
+        code = parts.indices.to_numpy()
+        n = size[code]
+        up_to = np.concatenate([[0], np.cumsum(n)])
+        row = up_to[np.searchsorted(ends, at, "right")]
+        return flat[np.arange(up_to[-1]) + np.repeat(first[code] - up_to[:-1], n)], row
 
     def ids(self, text: str) -> bytes:
-        known = self._chunks
-        return b"".join([known[c] for c in text.replace("\n", " ").split(" ")])
+        return b"".join(self.chunks(text.replace("\n", " ").split(" ")))
 
 
 def tokenizer_path() -> str:
@@ -131,16 +153,22 @@ def pieces(docs: DataFrame, path: str, sequence: int, quantum: int) -> DataFrame
 
     def work(batches):
         encoder = Encoder.of(path)
+        gc.disable()  # the remembered words are many, and no cycles are made
         for batch in batches:
             source, rows = [], []
-            for i, x in enumerate(batch.column(2)):
-                ids = encoder.ids(x.as_py() or "") + _CLOSE
-                for start, length in cuts(len(ids) // 4, sequence, quantum):
-                    source.append(i)
-                    rows.append((start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4))
+            data, at = K.string_bytes(batch.column(2))
+            for i, j in K.slices(at, SLICE):
+                found, row = encoder.batch(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                raw = memoryview(found.astype("<u4", copy=False)).cast("B")
+                for k in range(i, j):
+                    ids = bytes(raw[4 * row[k - i] : 4 * row[k - i + 1]]) + _CLOSE
+                    for start, length in cuts(len(ids) // 4, sequence, quantum):
+                        source.append(k)
+                        rows.append((start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4))
             columns = zip(*rows) if rows else [()] * 4
             take = pa.array(source, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "th", "start", "length", "ids_crc32", "doc_tokens"])
+        gc.enable()
 
     picked = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     return picked.mapInArrow(work, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, th long, start long, length long, ids_crc32 long, doc_tokens long")
