@@ -23,7 +23,7 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(3) == 1).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"))
     model = crf_quality.train(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
     return crf_quality.score(docs, model, keep=("doc_id", "held_out"))
 
@@ -37,7 +37,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder(4) == 2).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"))
     model = langid.train(docs.where(~F.col("held_out")))
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
 
@@ -56,7 +56,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(5) == 0).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"))
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
     return toxicity.score(docs, model, keep=("doc_id", "held_out"))
 
