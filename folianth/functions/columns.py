@@ -116,11 +116,10 @@ def tidy_name(c: Column | str) -> Column:
     s = F.regexp_replace(s, U + fixed.IRISH, "$1'")
     s = F.regexp_replace(s, UI + fixed.HONORIFIC, "")
     s = F.regexp_replace(s, U + fixed.INITIAL_DOT, "$1. ")
-    halves = F.split(s, ",", -1)
-    s = F.when(F.size(halves) == 2, F.concat_ws(" ", F.trim(halves[1]), F.trim(halves[0]))).otherwise(s)
-    s = F.trim(one_space(_replace(s, "_", " ")))
-    cased = F.upper(s) != F.lower(s)
-    return F.when(cased & ((s == F.upper(s)) | (s == F.lower(s))), F.initcap(s)).otherwise(s)
+    flipped = once(F.split(s, ",", -1), lambda h: F.when(F.size(h) == 2, F.concat_ws(" ", F.trim(F.get(h, F.lit(1))), F.trim(F.get(h, F.lit(0))))).otherwise(F.array_join(h, ",")))
+    spaced = F.trim(one_space(_replace(flipped, "_", " ")))
+    one_case = lambda x: (F.upper(x) != F.lower(x)) & ((x == F.upper(x)) | (x == F.lower(x)))
+    return once(spaced, lambda x: F.when(one_case(x), F.initcap(x)).otherwise(x))
 
 
 def has_diacritics(c: Column | str) -> Column:
@@ -143,12 +142,15 @@ def initial_sound(t: Column) -> Column:
 def is_name(c: Column | str) -> Column:
     """The gate of ``text.is_name``; null and empty are no names."""
     raw = F.coalesce(col(c), F.lit(""))
-    s = tidy_name(raw)
-    t = tokens(s)
-    plain = F.filter(F.split(s, " "), lambda w: ~w.endswith(".") & ~((F.length(w) == 1) & (w == F.upper(w)) & (w != F.lower(w))))
-    junk = F.exists(plain, lambda w: fold(w).isin(*sorted(JUNK_WORDS)))
-    longest = F.array_max(F.transform(t, lambda x: F.length(x)))
-    return ~raw.rlike(UI + fixed.WEB) & (s != "") & ~s.rlike(r"\p{Nd}") & ~fold(s).isin(*sorted(JUNK_NAMES)) & F.size(t).between(2, 4) & (F.coalesce(longest, F.lit(0)) >= 3) & ~junk
+
+    def passes(s: Column, t: Column) -> Column:
+        plain = F.filter(F.split(s, " "), lambda w: ~w.endswith(".") & ~((F.length(w) == 1) & (w == F.upper(w)) & (w != F.lower(w))))
+        junk = F.exists(plain, lambda w: fold(w).isin(*sorted(JUNK_WORDS)))
+        longest = F.array_max(F.transform(t, lambda x: F.length(x)))
+        return F.size(t).between(2, 4) & (F.coalesce(longest, F.lit(0)) >= 3) & ~s.rlike(r"\p{Nd}") & ~fold(s).isin(*sorted(JUNK_NAMES)) & ~junk
+
+    shown = once(tidy_name(raw), lambda s: (s != "") & once(tokens(s), lambda t: passes(s, t)))
+    return ~raw.rlike(UI + fixed.WEB) & shown
 
 
 def skeleton(t: Column) -> Column:
@@ -205,8 +207,10 @@ def occurs(c: Column | str, folded: Column | str) -> Column:
 
 
 def split_names(c: Column | str) -> Column:
-    parts = F.transform(F.filter(F.split(col(c), U + fixed.SEPARATOR), lambda p: F.trim(p) != ""), tidy_name)
-    return F.when((F.size(parts) > 1) & F.forall(parts, is_name), parts).otherwise(F.array(col(c)))
+    pieces = F.filter(F.split(col(c), U + fixed.SEPARATOR), lambda p: F.trim(p) != "")
+    whole = F.array(col(c))
+    named = lambda p: once(F.transform(p, tidy_name), lambda shown: F.when(F.forall(shown, is_name), shown).otherwise(whole))
+    return once(pieces, lambda p: F.when(F.size(p) > 1, named(p)).otherwise(whole))
 
 
 def file_name(path: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folianth.functions import columns as C
+from folianth.sources.staging import staged
 
 KEPT = ("epub", "pdf")
 CONVERTED = ("mobi", "doc", "docx", "rtf", "html", "txt")
@@ -117,10 +118,10 @@ def merge_origins(log: DataFrame, wanted: DataFrame) -> DataFrame:
     frontier = found
     while True:
         step = frontier.join(moves.withColumnRenamed("dest", "root"), "root").select(frontier["dest"], F.col("src").alias("root"))
-        frontier = step.join(found, ["dest", "root"], "left_anti").distinct()
+        frontier = staged(step.join(found, ["dest", "root"], "left_anti").distinct(), "frontier")
         if frontier.isEmpty():
             return found
-        found = found.union(frontier)
+        found = staged(found.union(frontier), "origins")
 
 
 def unplace(log: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -320,3 +320,155 @@ def genre_match(spark, sf_dir):
     """Free answers onto the taxonomy; closest matches have no SQL form."""
     words = table(spark, sf_dir, "part").select(F.col("p_type").alias("answer")).union(spark.createDataFrame([("sci-fi",), ("naučna fantastika",), ("Historical Fictoin",), ("poezija",)], "answer string"))
     return words.distinct().select("answer", G.match_genre(F.col("answer")).alias("genre"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[čćšžđČĆŠŽĐ]') AS marked FROM documents")
+def name_diacritics(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", C.has_diacritics("text").alias("marked"))
+
+
+@query(f"""SELECT p_partkey, array_to_string(list_filter({TOKENS.format("p_name || ' k. dz ' || p_type")}, lambda t: length(t) > 1 AND t NOT IN ('dz', 'lj', 'nj', 'dj')), ' ') AS bare,
+    {TOKENS.format('p_name')}[1] AS given FROM part""")
+def name_parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", C.drop_initials(F.concat_ws(" k. dz ", "p_name", "p_type")).alias("bare"), C.first_name("p_name").alias("given"))
+
+
+
+@query(f"""SELECT p_partkey, list_transform({TOKENS.format("p_name || ' ' || p_type")}, lambda t: CASE WHEN t[1:2] IN ('dz','dj','ge','gi','gy') THEN 'j' WHEN t[1:2] = 'ch' THEN 'c'
+    WHEN t[1:2] IN ('lj','nj') THEN t[1:2] ELSE t[1:1] END) AS sounds FROM part""")
+def name_sounds(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.transform(C.tokens(F.concat_ws(" ", "p_name", "p_type")), C.initial_sound).alias("sounds"))
+
+
+@query(r"""SELECT p_partkey, regexp_replace(lower(p_name || ' translated by ' || p_type || ' ' || p_brand), '\b(translated by)\b[:\s]*(?:\S+\s*){0,5}', ' ', 'g') AS text FROM part""")
+def credits_stripped(spark, sf_dir):
+    line = F.concat(F.col("p_name"), F.lit(" translated by "), F.col("p_type"), F.lit(" "), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", C.without_credits(C.fold(line)).alias("text"))
+
+
+@query("SELECT p_partkey, [upper(split_part(p_name, ' ', 1)[1:1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1:1]) || split_part(p_name, ' ', 2)[2:], 'Ana Lee'] AS names FROM part")
+def name_lists(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", C.split_names(F.concat(F.col("p_name"), F.lit(" & Ana Lee"))).alias("names"))
+
+
+_path = "'/lib/' || p_brand || '/' || p_name || ' - ' || p_type || ' [x] ' || p_size || '.epub'"
+
+
+@query(f"""SELECT p_partkey, regexp_extract({_path}, '([^/]*)[.]epub$', 1) AS stem, p_name || ' - ' || p_type AS bare, 2 AS segments,
+    regexp_replace({_path}, '/[^/]*$', '') AS folder FROM part""")
+def file_stems(spark, sf_dir):
+    path = F.concat(F.lit("/lib/"), "p_brand", F.lit("/"), "p_name", F.lit(" - "), "p_type", F.lit(" [x] "), F.col("p_size").cast("string"), F.lit(".epub"))
+    return table(spark, sf_dir, "part").select("p_partkey", C.stem(path).alias("stem"), C.bare_stem(C.stem(path)).alias("bare"), C.n_segments(path).alias("segments"), C.parent(path).alias("folder"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_type || '/' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS norm, CASE WHEN contains(lower(p_type), 'brass') THEN 'B' WHEN contains(lower(p_type), 'steel') THEN 'S' ELSE '' END AS hint FROM part")
+def genre_norms(spark, sf_dir):
+    hints = [("Brass", "B"), ("STEEL", "S")]
+    return table(spark, sf_dir, "part").select("p_partkey", C.genre_norm(F.concat_ws("/", "p_type", "p_brand")).alias("norm"), C.collection_hint("p_type", hints).alias("hint"))
+
+
+@query("SELECT o_orderkey, sha1('/lib/' || o_orderkey || '|' || o_custkey || '|' || epoch(o_orderdate)::BIGINT)[1:16] AS tag FROM orders")
+def archive_tags(spark, sf_dir):
+    from folianth.sources import files
+
+    path = F.concat(F.lit("/lib/"), F.col("o_orderkey").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", files.archive_tag(path, F.col("o_custkey"), F.col("o_orderdate")).alias("tag"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT s_suppkey AS dest, s_suppkey AS root FROM supplier UNION SELECT r.dest, r.root // 2 FROM r WHERE r.root > 1) SELECT dest, root FROM r""")
+def merge_chain(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    log = s.where("s_suppkey > 1").select(F.lit(True).alias("merge"), F.col("s_suppkey").alias("dest"), F.expr("s_suppkey div 2").alias("from"))
+    return actions.merge_origins(log, s.select(F.col("s_suppkey").alias("dest")))
+
+
+@query("""SELECT l_orderkey AS original, min_by(l_partkey, struct_pack(a := l_linenumber, b := l_partkey)) AS parked FROM lineitem GROUP BY l_orderkey""")
+def first_parked(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_orderkey").alias("original")).agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("parked"))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS book, o_custkey AS author, o_orderpriority AS copy, o_orderstatus AS g FROM orders),
+    n AS (SELECT author, copy, count(*) AS n FROM b GROUP BY ALL), c AS (SELECT author, copy, g, count(*) AS k FROM b GROUP BY ALL),
+    t AS (SELECT author, copy, list(g ORDER BY k DESC, g)[1:3] AS top FROM c GROUP BY ALL)
+    SELECT book, CASE WHEN n >= 2 THEN top ELSE [g] END AS genres FROM b JOIN n USING (author, copy) JOIN t USING (author, copy)""")
+def harmonize_copies(spark, sf_dir):
+    books = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("book"), F.col("o_custkey").alias("author"), F.col("o_orderpriority").alias("copy"), F.array("o_orderstatus").alias("genres"))
+    return G._shared(books, ["author", "copy"], 2).select("book", "genres")
+
+
+@query("SELECT count(*) AS books, count(*) FILTER (o_totalprice >= 1000) AS confident, count(DISTINCT o_custkey) AS authors FROM orders")
+def scan_summary(spark, sf_dir):
+    report = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("confidence"), F.col("o_custkey").alias("author"))
+    return scan.summary(report, 1000)
+
+
+@query("""SELECT o_orderkey, o_orderstatus = 'O' AND o_orderpriority <> '' AND o_totalprice >= 1000 AS ready FROM orders""")
+def ready_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "ok").otherwise("review").alias("status"), F.col("o_orderpriority").alias("author"), F.col("o_totalprice").alias("confidence"))
+    return rows.select("o_orderkey", actions.ready(1000).alias("ready"))
+
+
+@query("""WITH u AS (SELECT user_id, list(DISTINCT event_type) AS s, avg(value) AS v FROM events GROUP BY user_id)
+    SELECT user_id, len(list_intersect(s, ['click', 'view', 'purchase'])) >= 3 AND v >= 0.6 AS settled FROM u""")
+def settled_users(spark, sf_dir):
+    names = {"click": "tags", "view": "filename", "purchase": "folder"}
+    kinds = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.coalesce(kinds[F.col("event_type")], F.lit("other"))).alias("sources"), F.avg("value").alias("confidence"))
+    return users.select("user_id", F.struct("sources", "confidence").alias("decision")).select("user_id", V.settled().alias("settled"))
+
+
+@query("""WITH d AS (SELECT '/lib/' || n_regionkey || '/' || n_name AS path FROM nation), f AS (SELECT DISTINCT '/lib/' || n_regionkey || '/' || n_name AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 = 0)
+    SELECT path, 4 AS depth FROM d WHERE path NOT IN (SELECT path FROM f)""")
+def empty_folders(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").withColumn("path", F.concat_ws("/", F.lit("/lib"), F.col("n_regionkey").cast("string"), F.col("n_name")))
+    files = table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", "path", "s_name").alias("path"))
+    return actions.empty_folders(nation.select("path"), files)
+
+
+@query("""WITH b AS (SELECT '/out/' || p_brand || '/' || p_brand || ' - ' || p_partkey || '.epub' AS path, p_brand, p_partkey FROM part)
+    SELECT path AS "from", '/out/T/T - ' || p_partkey || '.epub' AS dest, 'T' AS author, p_partkey::VARCHAR AS title FROM b WHERE p_brand IN ('Brand#11', 'Brand#12')""")
+def merge_authors(spark, sf_dir):
+    listing = table(spark, sf_dir, "part").select(F.concat(F.lit("/out/"), "p_brand", F.lit("/"), "p_brand", F.lit(" - "), F.col("p_partkey").cast("string"), F.lit(".epub")).alias("path"))
+    return actions.merge_authors(listing, "T", ["Brand#11", "Brand#12"], "/out")
+
+
+@query("""SELECT '/out/' || p_brand || '/' || p_partkey || '.epub' AS path, '/out/' || p_brand || '/' || p_brand || ' - ' || p_partkey || '.epub' AS "to", p_partkey::VARCHAR AS title FROM part""")
+def rename_plan(spark, sf_dir):
+    listing = table(spark, sf_dir, "part").select(F.concat(F.lit("/out/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".epub")).alias("path"))
+    return actions.renames(listing, F.regexp_extract("path", r"([^/]*)\.epub$", 1))
+
+
+@query(f"""WITH w AS (SELECT p_partkey, {TOKENS.format('p_name')} AS n, {TOKENS.format('text')} AS t FROM part JOIN documents ON doc_id = p_partkey),
+    h AS (SELECT p_partkey, len(n) AS k, list_transform(n, lambda x: len(list_filter(t, lambda y: starts_with(y, x) AND length(y) - length(x) <= 3)) > 0) AS f FROM w)
+    SELECT p_partkey, f[-1] AND len(list_filter(f[1:k - 1], lambda x: x)) > 0 AS found FROM h""")
+def name_in_text(spark, sf_dir):
+    both = table(spark, sf_dir, "part").join(table(spark, sf_dir, "documents"), F.col("doc_id") == F.col("p_partkey"))
+    return both.select("p_partkey", C.occurs("p_name", C.fold("text")).alias("found"))
+
+
+@query("""SELECT doc_id, regexp_matches(lower(text), '\\b(antologij\\w*|zbornik\\w*|almanah\\w*|best of|the best)\\b') AS many FROM documents""")
+def anthologies(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", V.is_anthology(F.lit("/lib/x.epub"), F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("many"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN ['A', 'B'] ELSE ['A'] END AS genres FROM orders")
+def genre_choice(spark, sf_dir):
+    """Answers in order, without repeats; the last resort only when alone."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("book"), F.when(F.col("o_orderstatus") == "O", F.array(F.lit("a"), F.lit("A"), F.lit("B"), F.lit("Literary Fiction"))).otherwise(F.array(F.lit("A"), F.lit("zz qq"))).alias("said"))
+    answers = orders.select("book", F.posexplode("said").alias("pos", "answer"))
+    return G.choose(answers, "book", 3, ["A", "B", fixed.LAST_RESORT_GENRE]).withColumnRenamed("book", "o_orderkey")
+
+
+@query()
+def name_overrides(spark, sf_dir):
+    """Spellings that a rule's name matches, first rule first; the match has no SQL form."""
+    rules = spark.createDataFrame([(0, "Ring Small", "S. R."), (1, "Small Rinng", "late")], "rule_pos int, `from` string, `to` string")
+    return M.override_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), rules)
+
+
+@query()
+def gathered_candidates(spark, sf_dir):
+    """Evidence of every book of the made library."""
+    return V.gather(books(spark, sf_dir)).select("path", "title_used", "candidates", "name_parts", "groups")
