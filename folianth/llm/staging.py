@@ -1,35 +1,12 @@
-"""Tables that cut lineage, written to the folder every machine of the cluster shares."""
+"""The driver's tables, and tables staged in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from folianth.sources.staging import staged
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is made only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="folianth-"))
-        path = _own[0]
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, so later plans start there.
-
-    The files outlive a lost executor, unlike cached blocks or shuffle files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
