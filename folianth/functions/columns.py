@@ -69,25 +69,29 @@ def latin(c: Column | str) -> Column:
     return once(col(c), _latin)
 
 
-def _latin(out: Column) -> Column:
-    for apart, whole in _composed.items():
-        out = _replace(out, apart, whole)
+def _latin(c: Column) -> Column:
+    # Long chains run only over texts that hold what they change.
+    composed = F.when(c.rlike(r"\p{Mn}"), _each(c, _composed)).otherwise(c)
     src, dst, more = _cyrillic
-    for k, v in more.items():
-        out = _replace(out, k, v)
-    return F.translate(out, src, dst)
+    return once(composed, lambda x: F.when(x.rlike(r"[\u0400-\u04FF]"), F.translate(_each(x, more), src, dst)).otherwise(x))
+
+
+def _each(c: Column, pairs: dict[str, str]) -> Column:
+    for old, new in pairs.items():
+        c = _replace(c, old, new)
+    return c
 
 
 def fold(c: Column | str) -> Column:
-    return once(col(c), _fold)
+    """``text.fold``: Latin, lower case, no marks."""
+    return once(col(c), lambda x: F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(_fold(x)))
 
 
-def _fold(out: Column) -> Column:
-    out = F.lower(_replace(_replace(_latin(out), "đ", "dj"), "Đ", "Dj"))
+def _fold(c: Column) -> Column:
     src, dst, more = _folding
-    for k, v in more.items():
-        out = _replace(out, k, v)
-    return F.regexp_replace(F.translate(out, src, dst), r"\p{Mn}", "")
+    low = F.lower(_each(_latin(c), {"đ": "dj", "Đ": "Dj"}))
+    plain = once(low, lambda x: F.translate(F.when(x.rlike("[" + "".join(more) + "]"), _each(x, more)).otherwise(x), src, dst))
+    return F.regexp_replace(plain, r"\p{Mn}", "")
 
 
 def tokens(c: Column | str) -> Column:

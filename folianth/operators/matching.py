@@ -157,3 +157,21 @@ def rank_clusters(votes: DataFrame, book: str, cluster: str, score: str) -> Data
     """Winner and runner-up of each book: ranks by falling score, ties by cluster."""
     w = Window.partitionBy(book).orderBy(F.desc(score), cluster)
     return votes.withColumn("rank", F.row_number().over(w)).withColumn("runner", F.coalesce(F.lead(score).over(w), F.lit(0))).where("rank = 1").drop("rank")
+
+
+def like_title_pairs(df: DataFrame, row_id: str, group: str, title: str, least: float = 0.6) -> DataFrame:
+    """(a, b), a before b, of rows of one group whose titles have ``least`` of their words in common (Jaccard).
+
+    Words are taken once per row. Such a pair shares ceil(least n) of either's n words, so it shares one of
+    the n - ceil(least n) + 1 rarest: only rows that do are compared.
+    """
+    words = staged(df.select(F.col(row_id).alias("id"), F.col(group).alias("g"), F.array_distinct(C.tokens(title)).alias("w")).where(F.size("w") > 0), "title-words")
+    one = words.select("id", "g", F.explode("w").alias("t"))
+    rare = one.join(one.groupBy("t").agg(F.count("*").alias("n")), "t")
+    need = lambda size: F.ceil(least * size - 1e-9).cast("int")
+    ordered = rare.groupBy("id", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("w"))
+    keyed = ordered.select("id", "g", "w", F.explode(F.slice("w", F.lit(1), F.size("w") - need(F.size("w")) + 1)).alias("t"))
+    left, right = keyed.toDF("a", "g", "wa", "t"), keyed.toDF("b", "g", "wb", "t")
+    both = left.join(right, ["g", "t"]).where("a < b")
+    common = F.size(F.array_intersect("wa", "wb"))
+    return both.where(common >= least * (F.size("wa") + F.size("wb") - common) - 1e-9).select("a", "b").distinct()

@@ -211,9 +211,7 @@ _p = "lower(p_name || ' ' || p_type || ' ' || p_brand)"
     WHERE len(list_intersect(a.w, b.w)) * 10 >= 6 * len(list_distinct(list_concat(a.w, b.w)))""")
 def title_like(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
-    plain = part.withColumn("t", F.regexp_replace("t", "[^A-Za-z ]", " "))
-    a, b = plain.toDF("a", "brand", "x"), plain.toDF("b", "brand", "y")
-    return a.join(b, "brand").where("a < b").where(C.like_title("x", "y")).select("a", "b")
+    return M.like_title_pairs(part, "p_partkey", "p_brand", "t")
 
 
 RULES = [(0, "small", "S"), (1, "ring", "R"), (2, "large", "L")]
