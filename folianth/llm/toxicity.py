@@ -24,11 +24,11 @@ BUCKETS = 1 << 18
 SAMPLE = 2500
 #: A feature of fewer toxic rows is noise.
 MIN_ROWS = 4
-STEPS = 50
+STEPS = 100
 #: A feature speaks for toxicity if it is e^this times as frequent in toxic rows; others get no weight.
 MIN_RATIO = 1.5
 #: A sentence without such a feature is toxic with e^this at most, so thousands of them stay clean together.
-MAX_BIAS = -8.0
+MAX_BIAS = -9.0
 
 _IS_END = np.zeros(256, bool)
 _IS_END[[10, 33, 46, 63]] = True
