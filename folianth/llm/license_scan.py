@@ -3,12 +3,22 @@
 A line is lower-cased (A-Z), what isn't a-z or 0-9 parts words, and its distinct pairs of
 neighbouring words make a set. Dice is 2 |A and B| / (|A| + |B|), so a template can reach a
 threshold t only if |A| lies between t / (2 - t) |B| and (2 - t) / t |B|: other templates are not
-compared. Lines without a pair of words match nothing. Everything happens within a row, without a
-shuffle; null and empty texts have no match; repeated rows give equal rows; extra columns are not read.
+compared. Lines without a pair of words match nothing.
+
+Notices that are wrapped or stand within longer lines are found by windows over the words of the
+whole text (``windows``), with whole short licences and further notices as templates. A window has
+as many words as its template, or up to half as many more: a shorter one could leave out just the
+version number. Every template needs t / (2 - t) of its pairs somewhere in the text, or it isn't
+tried. Of overlapping windows the one with most common pairs after the pairs of one side alone are
+taken off stays. A line that matches counts as such, unless a window twice as long contains it.
+
+Everything happens within a row, without a shuffle; null and empty texts have no match; repeated
+rows give equal rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -38,15 +48,87 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_MIT_KEEP = " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+
+
+def _gnu(name: str, version: str, later: bool = True) -> str:
+    of = f"either version {version} of the License, or (at your option) any later version." if later else f"version {version} of the License."
+    return f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, {of}"
+
+
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+#: Templates of windows besides TEMPLATES: whole short licences, notices, and how the long licences begin.
+NOTICES = [
+    ("AGPL-3.0", _gnu("Affero General Public License", "3")),
+    ("AGPL-3.0", _gnu("Affero General Public License", "3", later=False)),
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", _BSD + _BSD_AS_IS),
+    ("BSD-3-Clause", _BSD + _BSD_NAMES + _BSD_AS_IS),
+    ("GPL-2.0", _gnu("General Public License", "2")),
+    ("GPL-2.0", _gnu("General Public License", "2", later=False)),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("GPL-3.0", _gnu("General Public License", "3")),
+    ("GPL-3.0", _gnu("General Public License", "3", later=False)),
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER '
+     "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("LGPL-2.1", _gnu("Lesser General Public License", "2.1")),
+    ("LGPL-2.1", _gnu("Lesser General Public License", "2.1", later=False)),
+    ("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("LGPL-3.0", _gnu("Lesser General Public License", "3")),
+    ("LGPL-3.0", _gnu("Lesser General Public License", "3", later=False)),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_KEEP + _AS_IS),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Distributed under the MIT License."),
+    ("MIT", "Under the terms of the MIT License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+]
+#: Words of a window by words of its template.
+SIZES = (1.0, 1.1, 1.2, 1.3, 1.4, 1.5)
+
 
 def template_bigrams(text: str) -> list[str]:
     w = re.findall("[a-z0-9]+", text.lower())
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
+def split_words(text: Column) -> Column:
+    return F.array_remove(F.split(ascii_lower(text), "[^a-z0-9]+"), "")
+
+
 def bigrams(line: Column) -> Column:
-    words = F.array_remove(F.split(ascii_lower(line), "[^a-z0-9]+"), "")
-    return let(words, lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))).otherwise(F.array().cast("array<string>")))
+    return let(split_words(line), lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))).otherwise(F.array().cast("array<string>")))
 
 
 def _bounds(n: int, threshold: float) -> tuple[float, float]:
@@ -78,9 +160,73 @@ def scan(docs: DataFrame, row_id: str = "doc_id", text: str = "text", templates:
     return docs.select(row_id, matches(F.col(text), templates, threshold).alias("matches"))
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
+def windows(text: Column, templates: list[tuple[str, str]] = TEMPLATES + NOTICES, threshold: float = THRESHOLD) -> Column:
+    """array<struct<gain, at, to, dice, license>>: windows of words ``at`` to ``to`` - 1 that reach the threshold and don't overlap, best first."""
+    share = threshold / (2 - threshold)
+    known = [(name, len(re.findall("[a-z0-9]+", t.lower())), template_bigrams(t)) for name, t in templates]
+    least = [max(1, math.ceil(share * len(b) - 1e-9)) for _, _, b in known]
+    all_known = F.array(*map(F.lit, sorted({x for _, _, b in known for x in b})))
+    patterns = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(n).alias("n"), F.array(*map(F.lit, b)).alias("known"), F.lit(k).alias("least")) for (name, n, b), k in zip(known, least)))
+    kind = "array<struct<gain:int,at:int,to:int,dice:double,license:string>>"
+
+    def compared(g: Column, t: Column, at: Column, size: float) -> Column:
+        """The window of words that begins at pair ``at``; it ends where the text does."""
+        to = F.least(at + F.ceil(t["n"] * F.lit(size)).cast("int"), F.size(g) + 1)
+        return let(F.array_distinct(F.slice(g, at + 1, to - at - 1)), lambda a: let(F.size(F.array_intersect(a, t["known"])), lambda c: F.struct(
+            (3 * c - F.size(a) - F.size(t["known"])).alias("gain"), (-at).alias("at"), to.alias("to"),
+            F.round(2.0 * c / (F.size(a) + F.size(t["known"])), 6).alias("dice"), t["name"].alias("license"))))
+
+    def of_template(g: Column, t: Column) -> Column:
+        def starts(h: Column) -> Column:
+            # Enough known pairs must follow within the longest window.
+            near = F.filter(h, lambda x, q: F.coalesce(F.get(h, q + t["least"] - 1) - x < F.ceil(t["n"] * F.lit(SIZES[-1])), F.lit(False)))
+            best = F.transform(near, lambda x: F.array_max(F.filter(F.array(*(compared(g, t, x, m) for m in SIZES)), lambda m: m["dice"] >= threshold)))
+            return F.filter(best, lambda m: m.isNotNull())
+
+        return let(F.filter(F.transform(g, lambda b, i: F.when(F.array_contains(t["known"], b), i)), lambda i: i.isNotNull()), starts)
+
+    def apart(found: Column) -> Column:
+        # By gain, then by place in the text, which is held negated until here.
+        best_first = F.transform(F.reverse(F.array_sort(found)), lambda m: F.struct(m["gain"].alias("gain"), (-m["at"]).alias("at"), m["to"].alias("to"), m["dice"].alias("dice"), m["license"].alias("license")))
+        free = lambda kept, m: ~F.exists(kept, lambda k: (k["at"] < m["to"]) & (m["at"] < k["to"]))
+        return F.aggregate(best_first, F.array().cast(kind), lambda kept, m: F.when(free(kept, m), F.concat(kept, F.array(m)).cast(kind)).otherwise(kept))
+
+    def search(g: Column) -> Column:
+        def tried(d: Column) -> Column:
+            some = F.filter(patterns, lambda t: F.size(F.array_intersect(d, t["known"])) >= t["least"])
+            return F.when(F.size(d) >= min(least), apart(F.flatten(F.transform(some, lambda t: of_template(g, t)))).cast(kind)).otherwise(F.array().cast(kind))
+
+        return let(F.array_intersect(g, all_known), tried)
+
+    pairs = let(split_words(F.coalesce(text, F.lit(""))), lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
+    return let(pairs, search)
+
+
+def merged(text: Column, lines: Column, found: Column) -> Column:
+    """array<struct<dice, license>>: matching lines, and windows apart from them; a window twice as long as a line that it contains replaces it."""
+    kind = "array<struct<dice:double,license:string>>"
+    plain = lambda ms: F.transform(ms, lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license")))
+
+    def places(ends: Column) -> Column:
+        """Matching lines with their words ``at`` to ``to`` - 1."""
+        return F.transform(lines, lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license"), F.get(ends, m["line"]).alias("at"), F.get(ends, m["line"] + 1).alias("to")))
+
+    def both(placed: Column) -> Column:
+        over = lambda w, m: (w["at"] <= m["at"]) & (w["to"] >= m["to"]) & (w["to"] - w["at"] >= 2 * (m["to"] - m["at"]))
+        touch = lambda w, m: (w["at"] < m["to"]) & (m["at"] < w["to"])
+        wide = F.filter(found, lambda w: ~F.exists(placed, lambda m: touch(w, m) & ~over(w, m)))
+        return let(wide, lambda ws: F.concat(plain(F.filter(placed, lambda m: ~F.exists(ws, lambda w: over(w, m)))), plain(ws)).cast(kind))
+
+    sizes = F.transform(split_lines(text), lambda x: F.size(split_words(x)))
+    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    return F.when(F.size(found) == 0, plain(lines).cast(kind)).when(F.size(lines) == 0, plain(found).cast(kind)).otherwise(let(let(ends, places), both))
+
+
+def report(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """doc_id, n_matches, licenses (distinct, sorted, comma-joined), best_dice (0 without a match) of every row."""
-    found = scan(docs.select("doc_id", "text"), **options)
+    text = F.col("text")
+    both = F.struct(matches(text, templates, threshold).alias("lines"), windows(text, templates + notices, threshold).alias("found"))
+    found = docs.select("doc_id", let(both, lambda b: merged(text, b["lines"], b["found"])).alias("matches"))
     return found.select(
         "doc_id",
         F.size("matches").cast("long").alias("n_matches"),

@@ -1,6 +1,7 @@
 """Line dedup and decontamination against plain versions, on awkward rows and on the driver's tables."""
 
 import hashlib
+import textwrap
 from collections import Counter, defaultdict
 
 import pytest
@@ -115,6 +116,26 @@ def test_licence_bounds_lose_nothing(spark):
         assert [(m.dice, m.license) for m in got[i]] == ([best] if best[0] >= 0.8 else [])
 
 
+def test_licences_wrapped_whole_and_within_lines(spark):
+    known = license_scan.NOTICES
+    whole = {n: max((t for m, t in known if m == n), key=len) for n, _ in known}
+    wrap = lambda t, n=72, lead="": "\n".join(lead + x for x in textwrap.wrap(t, n))
+    prose = "Some words of a text that has nothing to do with any of this. " * 20
+    gpl2 = next(t for n, t in license_scan.TEMPLATES if n == "GPL-2.0")
+    cases = [
+        (license_scan._MIT, 1, "MIT"), (wrap(license_scan._MIT, 78), 1, "MIT"), (wrap(gpl2), 1, "GPL-2.0"),
+        ("Copyright 2024 Foo. Licensed under the Apache License, Version 2.0. See the NOTICE file for details.", 1, "Apache-2.0"),
+        ("This file is part of Foo, released under the MIT License.", 1, "MIT"),
+        *((prose + "\n" + wrap(t, 70, "# ") + "\n" + prose, 1, n) for n, t in known),
+        (whole["BSD-2-Clause"].replace(": 1.", ":\n1."), 1, "BSD-2-Clause"),
+        (wrap(whole["MIT"]) + "\n" + prose + wrap(whole["MIT"]) + "\nReleased under the MIT License.\n" + wrap(license_scan._APACHE), 4, "Apache-2.0,MIT"),
+        ("Licensed under the Apache License, Version 1.1, by the authors of it", 0, ""), ("It was released under the MIT Press imprint of the house", 0, ""), (prose, 0, ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_matches, r.licenses) for r in license_scan.report(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [(n, names) for _, n, names in cases]
+
+
 @pytest.mark.skipif(not HAVE, reason="needs the driver's tables")
 @pytest.mark.parametrize("name", ["op2_license_scans", "op4_benchmark_decontamination", "op5_line_dedup"])
 def test_queries_equal_their_sql(spark, name):
