@@ -4,7 +4,9 @@ The markup is stripped into lines, one a block element. A line's weight is its t
 lines of menus, page headers and footers, sidebars, notices, adverts, forms and comments, told by
 element, role, class or id, weigh nothing. The weights are summed over a sliding window of lines:
 the text surges where the sum passes a threshold and dives where it falls to zero, and the lines
-between are kept. A page that marks its article (``article``, ``main``, ``role=main``,
+between are kept; empty lines don't count. Paragraphs and headings beside text that surged (in the
+same element) are kept as well, and so is what lies between, links too, unless it is longer than half
+of the text. A page that marks its article (``article``, ``main``, ``role=main``,
 ``itemprop=articleBody``) has the other lines weigh nothing and needs no threshold to surge; a page
 whose lines never reach the threshold is read with none.
 
@@ -38,6 +40,7 @@ BLOCKS = {
     "tr", "ul",
 }
 SPACED = {"br", "td", "th"}
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 ARTICLE = {"article", "main"}
 ROLES_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "alert", "alertdialog", "dialog", "form"}
 #: Words of a class or id that mark what isn't the article.
@@ -79,12 +82,13 @@ def _is_out(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return out, article
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links or 0 where left out, of the article) of each line in page order; texts left out are empty."""
-    found: list[tuple[str, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, bool, int, str]]:
+    """(text, characters outside links or 0 where left out, of the article, number of the element around its block, name of its block)
+    of each line in page order; texts left out are empty."""
+    found: list[tuple[str, int, bool, int, str]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, left out, article: of the element or one around it
+    stack: list[tuple[str, bool, bool, int]] = []  # name, left out, article: of the element or one around it; place of its tag
     out = article = False
     links = 0
 
@@ -93,14 +97,15 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            found.append((text, max(0, len(text) - linked), article))
+            around = [x for x in stack if x[0] in BLOCKS]
+            found.append((text, max(0, len(text) - linked), article, around[-2][3] if len(around) > 1 else -1, around[-1][0] if around else ""))
         elif not found or found[-1][0]:
-            found.append(("", 0, article))
+            found.append(("", 0, article, -1, ""))
         linked = 0
 
     def state() -> None:
         nonlocal out, article
-        out, article = stack[-1][1:] if stack else (False, False)
+        out, article = stack[-1][1:3] if stack else (False, False)
 
     at, n = 0, len(page)
     while at < n:
@@ -146,7 +151,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 if stack[k][0] in BLOCKS:
                     break
         left, marks = _is_out(name, m[3], article)
-        stack.append((name, out or left, article or marks))
+        stack.append((name, out or left, article or marks, m.start()))
         links += name == "a"
         state()
     end_line()
@@ -174,22 +179,40 @@ def distribution(weights: np.ndarray, window: int, threshold: int) -> np.ndarray
     return kept
 
 
+def joined(kept: np.ndarray, found: list[tuple[str, int, bool, int, str]], weights: np.ndarray) -> np.ndarray:
+    """Kept lines with paragraphs and headings beside them, and with short gaps between lines of one element."""
+    homes = {found[i][3] for i in np.flatnonzero(kept)}
+    kept = kept | np.array([w > 0 and home in homes and name in TEXTUAL for w, (_, _, _, home, name) in zip(weights, found)])
+    most = int(weights[kept].sum()) // 2
+    spans: dict[int, list[int]] = {}
+    for i in np.flatnonzero(kept):
+        spans.setdefault(found[i][3], []).append(int(i))
+    for places in spans.values():
+        for a, b in zip(places, places[1:]):
+            if b - a > 1 and sum(len(found[i][0]) for i in range(a + 1, b) if not kept[i]) <= most:
+                kept[a:b] = True
+    return kept
+
+
 def main_text(page: str | None, window: int = WINDOW, threshold: int = SURGE) -> str:
     if not page:
         return ""
-    found = lines(page)
-    marked = any(inside and text for text, _, inside in found)
+    found = [x for x in lines(page) if x[0]]
+    if not found:
+        return ""
+    marked = any(x[2] for x in found)
     if marked:
         # Inside the article links are text as well.
-        weights = np.array([len(text) if inside else 0 for text, _, inside in found])
+        weights = np.array([len(x[0]) if x[2] else 0 for x in found])
         kept = distribution(weights, window, 0)
-        kept &= np.array([inside for _, _, inside in found])
+        kept &= np.array([x[2] for x in found])
     else:
-        weights = np.array([w if w > 0 else 0 for _, w, _ in found])
+        weights = np.array([x[1] for x in found])
         kept = distribution(weights, window, threshold)
         if not kept.any():
             kept = distribution(weights, window, 0)
-    return "\n".join(text for (text, _, _), k in zip(found, kept) if k and text)
+        kept = joined(kept, found, weights)
+    return "\n".join(x[0] for x, k in zip(found, kept) if k)
 
 
 def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url"), window: int = WINDOW, threshold: int = SURGE) -> DataFrame:

@@ -36,6 +36,18 @@ def test_unmarked_page_surges_and_dives():
     assert got[0] == "Title" and got[-1] == "Short end." and len(got) == 6
 
 
+LONG = "A sentence of the main text that is rather long. " * 3
+MENU = "<ul>" + "".join(f"<li><a href='#'>Item {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize("around", ["{}", "<div>{}</div>", "<div><div class='text'>{}</div><div>Copyright Foo</div></div>"])
+def test_unmarked_page_keeps_headline_byline_links_and_short_paragraphs(around):
+    links = "".join(f"<li><a href='#'>See {i}</a></li>" for i in range(5))
+    article = f"<h1>Headline</h1><p>By Ann</p><p>{LONG}</p><p><a href='#'>One link</a></p><p>Short.</p><ul>{links}</ul><p>Shorter.</p><p>End.</p>"
+    got = html_text.main_text(f"<body>{MENU}{around.format(article)}{MENU}</body>").split("\n")
+    assert got == ["Headline", "By Ann", LONG.strip(), "One link", "Short.", *(f"See {i}" for i in range(5)), "Shorter.", "End."]
+
+
 def test_pages_of_a_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, None), (None, "u", "<p>é", 1)], "page_id long, url string, html string, text int")
     got = {r.page_id: r for r in html_text.extract(df).collect()}
