@@ -32,7 +32,7 @@ SURGE = 86
 # Element names of the HTML standard by the part that they play here.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SKIPPED = {"head", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "math"}
+SKIPPED = {"head", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "svg", "canvas", "audio", "video", "annotation", "annotation-xml"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
     "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html",
@@ -43,34 +43,43 @@ SPACED = {"br", "td", "th"}
 TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 ARTICLE = {"article", "main"}
 ROLES_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "alert", "alertdialog", "dialog", "form"}
-#: Words of a class or id that mark what isn't the article.
-NAMES_OUT = re.compile(
-    r"^(?:ad|ads|adv|advert\w*|adsense|adbox|adslot|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|nav|navbar|navigation|menu|menus|breadcrumb\w*|sidebar\w*|aside|footer|masthead|toolbar|"
-    r"comments?|commentlist|respond|disqus\w*|replies|related|recommend\w*|share|sharing|social|widget\w*|pagination|pager|skip)$"
+#: What marks a class or id of what isn't the article: the whole of it, its first word, or its last one.
+WHOLE_OUT = re.compile(
+    r"^(?:sponsor\w*|promo\w*|consent|notices?|alerts?|popup|modal|overlay|subscribe|signup|aside|respond|replies|related|recommend\w*|share|sharing|social|widgets?|pager|skip|"
+    r"(?:share|sharing|social)(?:buttons?|links?|icons?|bar|media|list)|(?:post|entry|article)(?:share|sharing|social|related)|"
+    r"related(?:posts?|articles?|links?|stories|content|items)|(?:recommended|sponsored|promoted)(?:posts?|articles?|links?|stories|content|items)|widgetarea|skiplink|"
+    r"(?:modal|popup|newsletter)(?:overlay|dialog|window|form|box|content)|(?:signup|subscribe)(?:form|box))$"
 )
+FIRST_OUT = re.compile(
+    r"^(?:ad|ads|adv|advert\w*|adsense|adbox|adslot|banner\w*|cookie\w*|gdpr|newsletter|nav|navbar|navigation|menu|menus|breadcrumb\w*|sidebar\w*|footer|masthead|toolbar|"
+    r"comments?|commentlist|disqus\w*|pagination)$"
+)
+LAST_OUT = re.compile(r"^(?:ad|ads|advert\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|toolbar|banner|newsletter|comments|commentlist|pagination)$")
+#: First or last words of what may be longer than the article.
+TALK = {"comment", "comments", "commentlist", "respond", "replies"}
 _name = re.compile(r"[a-z]+")
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _attribute = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
-def _names_out(value: str) -> bool:
-    """Whether a class or id is of something beside the article; ``has-sidebar`` and ``no-ads`` tell of the page around it."""
+def _names_out(value: str) -> str:
+    """What a class or id of something beside the article says, or nothing; ``has-sidebar`` and ``no-ads`` tell of the page around it."""
     for part in value.split():
         words = _name.findall(part)
-        if words and words[0] not in ("has", "no", "with", "without", "not") and (NAMES_OUT.match(words[0]) or NAMES_OUT.match(words[-1])):
-            return True
-    return False
+        if words and words[0] not in ("has", "no", "with", "without", "not") and (WHOLE_OUT.match("".join(words)) or FIRST_OUT.match(words[0]) or LAST_OUT.match(words[-1])):
+            return "talk" if TALK & {words[0], words[-1]} or words[0].startswith("disqus") else "layout"
+    return ""
 
 
-def _is_out(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is left out, and whether it marks the article."""
-    out, article = name in SKIPPED or name == "header" and not inside, name in ARTICLE
+def _is_out(name: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether an element is left out by what it is, whether it marks the article, and what its names say (see ``_names_out``)."""
+    out, article, named = name in SKIPPED or name == "header" and not inside, name in ARTICLE, ""
     if attributes:
         for m in _attribute.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
-                out = out or name not in ("body", "html", "article", "main") and _names_out(value)
+                if name not in ("body", "html", "article", "main"):
+                    named = named or _names_out(value)
             elif key == "role":
                 out, article = out or value in ROLES_OUT, article or value == "main"
             elif key == "itemprop":
@@ -79,17 +88,37 @@ def _is_out(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
                 out = out or value == "true"
             elif key == "hidden":
                 out = True
-    return out, article
+    return out, article, named
+
+
+def named_parts(page: str) -> list[tuple[str, int, bool, int, str]]:
+    """``lines`` of a page, reading on in what is left out only for its names where that holds the page's text."""
+    kept: frozenset[int] = frozenset()
+    while True:
+        named: dict[int, list] = {}
+        found = lines(page, kept, named)
+        marked = any(x[2] and x[0] for x in found) or any(n and inside for _, n, inside in named.values())
+        text = sum(x[1] for x in found if x[2] or not marked)
+        parts = {at: (kind, n) for at, (kind, n, inside) in named.items() if n and (inside or not marked)}
+        whole = text + sum(n for kind, n in parts.values() if kind == "layout")
+        most = {at for at, (kind, n) in parts.items() if kind == "layout" and 2 * n > whole}
+        if not most and not text:  # nothing would be left
+            most = set(sorted(parts, key=lambda at: (parts[at][0] != "layout", -parts[at][1]))[:1])
+        if not most:
+            return found
+        kept |= most
 
 
-def lines(page: str) -> list[tuple[str, int, bool, int, str]]:
+def lines(page: str, whole: frozenset[int] = frozenset(), named: dict[int, list] | None = None) -> list[tuple[str, int, bool, int, str]]:
     """(text, characters outside links or 0 where left out, of the article, number of the element around its block, name of its block)
-    of each line in page order; texts left out are empty."""
+    of each line in page order; texts left out are empty. Elements whose tags are at ``whole`` stay whatever their names say;
+    ``named`` gets [what the names say, characters outside links, whether of the article] of those left out for them."""
     found: list[tuple[str, int, bool, int, str]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, int]] = []  # name, left out, article: of the element or one around it; place of its tag
+    stack: list[tuple[str, bool, bool, int, int]] = []  # name, left out, article: of the element or one around it; place of its tag; by_name
     out = article = False
+    by_name = -1  # place of the tag of what is left out for its names alone
     links = 0
 
     def end_line() -> None:
@@ -104,8 +133,8 @@ def lines(page: str) -> list[tuple[str, int, bool, int, str]]:
         linked = 0
 
     def state() -> None:
-        nonlocal out, article
-        out, article = stack[-1][1:3] if stack else (False, False)
+        nonlocal out, article, by_name
+        out, article, _, by_name = stack[-1][1:] if stack else (False, False, -1, -1)
 
     at, n = 0, len(page)
     while at < n:
@@ -116,6 +145,8 @@ def lines(page: str) -> list[tuple[str, int, bool, int, str]]:
             parts.append(text)
             if links:
                 linked += len(text)
+        elif text and by_name >= 0 and named is not None and not links:
+            named[by_name][1] += len(" ".join(html.unescape(text).split()))
         if not m:
             break
         at = m.end()
@@ -150,8 +181,15 @@ def lines(page: str) -> list[tuple[str, int, bool, int, str]]:
                     break
                 if stack[k][0] in BLOCKS:
                     break
-        left, marks = _is_out(name, m[3], article)
-        stack.append((name, out or left, article or marks, m.start()))
+        left, marks, names = _is_out(name, m[3], article)
+        inner = -1 if left else by_name
+        if names and not left and not out and m.start() not in whole:
+            left, inner = True, m.start()
+            if named is not None:
+                named[inner] = [names, 0, article]
+        elif inner >= 0 and marks and named is not None:
+            named[inner][2] = True
+        stack.append((name, out or left, article or marks, m.start(), inner))
         links += name == "a"
         state()
     end_line()
@@ -197,7 +235,7 @@ def joined(kept: np.ndarray, found: list[tuple[str, int, bool, int, str]], weigh
 def main_text(page: str | None, window: int = WINDOW, threshold: int = SURGE) -> str:
     if not page:
         return ""
-    found = [x for x in lines(page) if x[0]]
+    found = [x for x in named_parts(page) if x[0]]
     if not found:
         return ""
     marked = any(x[2] for x in found)

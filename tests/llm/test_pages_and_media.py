@@ -48,6 +48,24 @@ def test_unmarked_page_keeps_headline_byline_links_and_short_paragraphs(around):
     assert got == ["Headline", "By Ann", LONG.strip(), "One link", "Short.", *(f"See {i}" for i in range(5)), "Shorter.", "End."]
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_of_wrappers_lose_no_article(tag):
+    part = "<div class='elementor-element elementor-widget elementor-widget-text-editor'><div class='elementor-widget-container'><p>{}</p></div></div>"
+    text = [LONG.strip() + str(i) for i in range(3)]
+    inner = "".join(map(part.format, text))
+    outs = "<div class='share-buttons'>Share it</div><div id='comments'><p>" + LONG * 9 + "</p></div>"
+    for names in ("page", "sidebar-left", "share-content", "widget", "left-sidebar"):
+        assert html_text.main_text(f"<body><{tag}><div class='{names}'>{inner}</div>{outs}</{tag}></body>").split("\n") == text
+    nested = f"<body><div class='sidebar-left'><{tag}><div class='widget'>{inner}</div><div class='sidebar'>Beside it</div></{tag}></div></body>"
+    assert html_text.main_text(nested).split("\n") == text
+    assert html_text.main_text(f"<article><div class='comments'><p>{LONG}</p></div></article>") == LONG.strip()
+
+
+def test_formulas_and_objects_stay():
+    math = "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math>"
+    assert html_text.main_text(f"<article><p>So {math} holds.</p><object data='a'><p>A chart</p></object></article>") == "So x=1 holds.\nA chart"
+
+
 def test_pages_of_a_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 3), (2, None, None, None), (None, "u", "<p>é", 1)], "page_id long, url string, html string, text int")
     got = {r.page_id: r for r in html_text.extract(df).collect()}
