@@ -1,5 +1,7 @@
 """TIFF columns: walk image directories, decode strips and tiles, undo predictors, a row per page.
 
+A page that can't be decoded gives a row with its ``page`` and an ``error``, and the walk goes on; a damaged
+chain of directories ends it with such a row. Samples of 1, 2 and 4 bits become a byte each.
 Nulls and empty or damaged files give one row with ``page`` 0, null measures and an ``error``;
 repeated rows give repeated pages; other columns of the input pass through only if named in ``keep``.
 """
@@ -20,10 +22,13 @@ from pyspark.sql import types as T
 # Fixed values of the TIFF 6.0 specification and its supplements: tags, compressions, value types.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
+FILL_ORDER = 266
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_CODES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i"}
 
+#: No tag: tells of a tag whose values lie outside the file.
+DAMAGED = -1
 #: Payload rows are this many samples wide.
 ROW = 64
 STRIP_ROWS = 1024
@@ -140,14 +145,28 @@ _encode = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1),
 
 
 def undo_predictor(block: np.ndarray, predictor: int) -> np.ndarray:
-    """Rows x columns x samples: 2 sums differences along the row, with wrap-around."""
-    if predictor == 1:
+    """Rows x columns x samples: 2 sums differences along the row, with wrap-around; 3 is undone on bytes (``join_bytes``)."""
+    if predictor in (1, 3):
         return block
     if predictor != 2:
         raise ValueError(f"predictor {predictor} is not supported")
     return np.cumsum(block, axis=1, dtype=block.dtype)
 
 
+def join_bytes(raw: bytes, high: int, wide: int, deep: int, size: int) -> np.ndarray:
+    """Predictor 3: rows hold the differences of all first bytes, then all second ones, the highest first; gives unsigned samples."""
+    rows = np.frombuffer(raw, np.uint8, high * wide * deep * size).reshape(high, wide * size, deep)
+    planes = np.cumsum(rows, axis=1, dtype=np.uint8).reshape(high, size, wide * deep)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">u{size}").reshape(high, wide, deep)
+
+
+def unpack_samples(raw: bytes, high: int, wide: int, deep: int, bits: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, high bits first; each row begins a byte."""
+    rows = np.unpackbits(np.frombuffer(raw, np.uint8, high * -(-wide * deep * bits // 8)).reshape(high, -1), axis=1)
+    samples = rows[:, : wide * deep * bits].reshape(high, wide, deep, bits)
+    return (samples << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+
+
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
     """The byte order and the integer tags of each image directory, in file order."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -168,19 +187,28 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
             place = at + 10 + 12 * k
             if struct.calcsize(form) > 4:
                 place = struct.unpack_from(order + "I", data, place)[0]
-            tags[tag] = list(struct.unpack_from(form, data, place))
+            try:
+                tags[tag] = list(struct.unpack_from(form, data, place))
+            except struct.error as e:
+                tags[DAMAGED] = [f"tag {tag}: {e}"]
         yield order, tags
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
 
 
 def read_page(data: bytes, order: str, tags: dict[int, list[int]]) -> np.ndarray:
     """The samples of one directory, as rows x columns x samples."""
+    if DAMAGED in tags:
+        raise ValueError(tags[DAMAGED][0])
     one = lambda tag, otherwise: tags.get(tag, [otherwise])[0]
     width, length, samples = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1)
     bits = set(tags.get(BITS, [1]))
-    if bits not in ({8}, {16}, {32}):
+    if bits not in ({1}, {2}, {4}, {8}, {16}, {32}):
         raise ValueError(f"bits per sample {sorted(bits)} are not supported")
-    kind = np.dtype(f"{order}u{bits.pop() // 8}")
+    depth, predictor = bits.pop(), one(PREDICTOR, 1)
+    if depth < 8 and predictor != 1 or depth == 8 and predictor == 3:
+        raise ValueError(f"predictor {predictor} is not defined for {depth} bits")
+    kind = np.dtype(f"{order}u{max(1, depth // 8)}")
+    flip = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256)) if one(FILL_ORDER, 1) == 2 else None
     split = one(PLANAR, 1) == 2 and samples > 1
     planes, deep = (samples, 1) if split else (1, samples)
     if one(COMPRESSION, NONE) not in _decode:
@@ -199,12 +227,18 @@ def read_page(data: bytes, order: str, tags: dict[int, list[int]]) -> np.ndarray
     for k in range(across * down * planes):
         plane, (y, x) = k // (across * down), divmod(k % (across * down), across)
         high = h if TILE_OFFSETS in tags else min(h, length - y * h)
-        raw = decode(data[starts[k] : starts[k] + counts[k]])
+        raw = data[starts[k] : starts[k] + counts[k]]
+        raw = decode(raw.translate(flip) if flip else raw)
         need = high * w * deep
-        if len(raw) < need * kind.itemsize:
+        if len(raw) < high * -(-w * deep * depth // 8):
             raise ValueError("a strip or tile is too short")
-        block = np.frombuffer(raw, kind, need).astype(out.dtype).reshape(high, w, deep)
-        block = undo_predictor(block, one(PREDICTOR, 1))[: length - y * h, : width - x * w]
+        if depth < 8:
+            block = unpack_samples(raw, high, w, deep, depth)
+        elif predictor == 3:
+            block = join_bytes(raw, high, w, deep, kind.itemsize).astype(out.dtype)
+        else:
+            block = np.frombuffer(raw, kind, need).astype(out.dtype).reshape(high, w, deep)
+        block = undo_predictor(block, predictor)[: length - y * h, : width - x * w]
         out[y * h : y * h + block.shape[0], x * w : x * w + block.shape[1], plane : plane + deep] = block
     return out
 
@@ -303,15 +337,25 @@ def tiff_pages(media: DataFrame, content: str = "media", keep: tuple[str, ...] =
     def rows(data: bytes | None) -> Iterator[tuple]:
         digest = None if data is None else hashlib.sha256(data).hexdigest()
         size = None if data is None else len(data)
+        failures = (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError)
+
+        def failed(k: int, e: Exception) -> tuple:
+            return (k, *[None] * 9, size, digest, None, f"{type(e).__name__}: {e}"[:200], *([None] if pixels else []))
+
         k = 0
         try:
-            for tags, page in read_pages(data or b""):
-                raw = page.tobytes()
-                one = lambda tag, tags=tags: tags.get(tag, [1])[0]
-                yield (k, page.shape[1], page.shape[0], page.shape[2], page.itemsize * 8, one(COMPRESSION), one(PREDICTOR), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), size, digest, describe(page), None, *([raw] if pixels else []))
+            for order, tags in directories(data or b""):
+                try:
+                    page = read_page(data, order, tags)
+                    raw = page.tobytes()
+                    one = lambda tag, tags=tags: tags.get(tag, [1])[0]
+                    row = (k, page.shape[1], page.shape[0], page.shape[2], one(BITS), one(COMPRESSION), one(PREDICTOR), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), size, digest, describe(page), None, *([raw] if pixels else []))
+                except failures as e:
+                    row = failed(k, e)
+                yield row
                 k += 1
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError) as e:
-            yield (k, *[None] * 9, size, digest, None, f"{type(e).__name__}: {e}"[:200], *([None] if pixels else []))
+        except failures as e:
+            yield failed(k, e)
 
     def read(batches):
         from pyspark.sql.pandas.types import to_arrow_type

@@ -113,3 +113,43 @@ def test_texts_survive(spark):
         full = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (p.payload_bytes, p.payload_sha256, p.tail_crc32, p.error) == (len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), None)
     assert len(TEXTS) and tiff.tiff_pages(tiff.text_media(empty(spark))).count() == 0
+
+
+def with_tags(data, page, values):
+    """A file of ``write_tiff`` with values of tags of one page replaced."""
+    out, at = bytearray(data), int.from_bytes(data[4:8], "little")
+    for _ in range(page):
+        at = int.from_bytes(out[at + 2 + 12 * int.from_bytes(out[at : at + 2], "little") :][:4], "little")
+    for k in range(int.from_bytes(out[at : at + 2], "little")):
+        place = at + 2 + 12 * k
+        tag = int.from_bytes(out[place : place + 2], "little")
+        if tag in values:
+            out[place + 8 : place + 12] = values[tag].to_bytes(4, "little")
+    return bytes(out)
+
+
+def test_pages_after_a_damaged_one(spark):
+    pages = [np.full((4, 5), i, np.uint8) for i in range(3)]
+    for values in ({tiff.COMPRESSION: 99}, {tiff.STRIP_COUNTS: 1}, {tiff.BITS: 7}):
+        data = with_tags(tiff.write_tiff(pages), 1, values)
+        got = tiff.tiff_pages(spark.createDataFrame([(1, bytearray(data))], "doc_id long, media binary"), pixels=True).orderBy("page").collect()
+        assert [r.page for r in got] == [0, 1, 2] and [r.error is None for r in got] == [True, False, True]
+        assert bytes(got[2].pixels) == pages[2].tobytes()
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_packed_samples(bits):
+    want = np.random.default_rng(bits).integers(0, 1 << bits, (6, 13), dtype=np.uint8)
+    packed = np.packbits(np.pad((want[:, :, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8) & 1).reshape(6, -1), ((0, 0), (0, -13 * bits % 8))), axis=1)
+    data = with_tags(tiff.write_tiff([packed], tiff.PACKBITS), 0, {tiff.BITS: bits, tiff.WIDTH: 13})
+    ((_, got),) = tiff.read_pages(data)
+    assert (got[:, :, 0] == want).all()
+
+
+def test_floating_point_predictor():
+    want = np.random.default_rng(0).normal(size=(5, 7)).astype(">f4")
+    planes = want.view(np.uint8).reshape(5, 7, 4).transpose(0, 2, 1).reshape(5, 28)
+    stored = np.concatenate([planes[:, :1], np.diff(planes, axis=1)], axis=1)
+    data = with_tags(tiff.write_tiff([stored]), 0, {tiff.BITS: 32, tiff.WIDTH: 7, tiff.PREDICTOR: 3})
+    ((_, got),) = tiff.read_pages(data)
+    assert (np.ascontiguousarray(got[:, :, 0]).view(np.float32) == want).all()
