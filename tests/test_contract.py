@@ -43,3 +43,10 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and "author" in df.columns
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_books_are_all_parts(spark, tmp_path):
+    spark.createDataFrame([(i, f"ann lee {i}", "BRASS", "Brand#1") for i in (1, 2)], "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, "a text")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.snippet for r in queries.books(spark, str(tmp_path)).collect()} == {"a text", None}
+    assert queries.decided_titles(spark, str(tmp_path)).count() == 2
