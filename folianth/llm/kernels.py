@@ -92,10 +92,15 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def segment_sum(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` between consecutive borders; an empty segment sums to 0."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[borders[1:]] - total[borders[:-1]]
+    """Sums of ``values`` between consecutive borders; an empty segment sums to 0.
+
+    Each segment is added up on its own, so its sum has the same bits whatever stands beside it.
+    """
+    total = np.zeros((len(borders) - 1, *values.shape[1:]), np.float64)
+    full = np.flatnonzero(np.diff(borders) > 0)
+    if len(full):
+        total[full] = np.add.reduceat(values, borders[:-1][full], axis=0, dtype=np.float64)
+    return total
 
 
 def with_columns(batch: pa.RecordBatch, keep: list[str], **more: np.ndarray | pa.Array) -> pa.RecordBatch:
