@@ -24,8 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .line_dedup import UPPER, ascii_lower, split_lines
-from .winnow import let
+from .line_dedup import UPPER, ascii_lower, let, split_lines
 
 THRESHOLD = 0.8
 

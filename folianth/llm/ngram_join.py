@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folianth.operators.components import components
@@ -42,8 +42,9 @@ BANDS, ROWS = 30, 5
 STEP = 30
 #: A pair goes when its chance of reaching the threshold is below this.
 TOLERANCE = 1e-7
-#: Classes in a block of signatures, and bytes of shingles in a block that is verified.
-BLOCK = 256
+#: Classes in a block, at least and at most; between the two, blocks grow with the root of the group, so that
+#: each class of a large group is copied for fewer pairs of blocks. Bytes of shingles in a block that is verified.
+BLOCK, LARGEST_BLOCK, BLOCK_GROWTH = 256, 2048, 4.0
 BLOCK_BYTES = 8 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -198,6 +199,11 @@ def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable
     yield from done()
 
 
+def n_blocks(n: Column) -> Column:
+    """Blocks of a group of n."""
+    return F.ceil(n / F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST_BLOCK), BLOCK_GROWTH * F.sqrt(n)))).cast("int")
+
+
 def block_pairs(rows: DataFrame, group: str, n_blocks: str, spread: str) -> DataFrame:
     """Deal each group out as pairs of blocks: adds bi, bj and ``side`` (0: the row is of block bi; 1: of bj)."""
     mine = F.pmod(F.xxhash64(spread, F.lit(7)), F.col(n_blocks)).cast("int")
@@ -237,7 +243,7 @@ def candidate_clusters(reps: DataFrame, threshold: float, tolerance: float) -> D
     # Copies share many buckets: of those with the same members, which an order-free hash tells, one is enough.
     crowded = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(2))).alias("y")).where("n > 1")
     crowded = crowded.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    crowded = staged(crowded.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    crowded = staged(crowded.select("bucket", n_blocks(F.col("n")).alias("blocks")), "buckets")
     members = keyed.join(crowded, "bucket").join(reps.select("cls", "n_shingles", "sig"), "cls")
     dealt = block_pairs(members, "bucket", "blocks", "cls").drop("blocks")
     out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -294,9 +300,10 @@ def links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, row_id: str, te
     """cls, other (the smallest linked class in a block) and n (rows of linked classes), a row for each class and pair of blocks."""
     width = BANDS * ROWS
     needs = least_matches(threshold, tolerance, STEP, width)
-    inside = reps.join(clusters, reps["cls"] == clusters["node"]).select("cls", "id", "rows", "sig", "n_shingles", "root")
+    inside = staged(reps.join(clusters, reps["cls"] == clusters["node"]).select("cls", "id", "rows", "sig", "n_shingles", "root"), "clustered")
     sizes = inside.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles").cast("long") * 8).alias("bytes"))
-    sizes = sizes.select("root", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    # A table, as the sides of the joins below are: a cluster of a third of all classes is one key, which Spark may then split.
+    sizes = staged(sizes.select("root", F.greatest(n_blocks(F.col("n")), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "cluster-sizes")
     placed = inside.join(sizes, "root").withColumnRenamed("id", "__id").withColumnRenamed("cls", "__cls")
     texts = docs.select(F.col(row_id).alias("__doc"), F.col(text).alias("text")).join(placed, F.col("__doc") == F.col("__id"))
 
@@ -363,10 +370,11 @@ def classified(docs: DataFrame, row_id: str, text: str, threshold: float, tolera
     tied = components(linked.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     counts = linked.groupBy("cls").agg(F.sum("n").alias("n"))
     named = reps.select("cls", F.col("id").alias("copy_id"), "rows").join(tied.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    smallest = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(smallest, "root").join(counts, "cls", "left")
-    result = named.select("cls", "copy_id", "class_id", (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    # The rows of one class may be a third of all: only this join sees them, and Spark splits its large partitions.
+    named = staged(named.join(counts, "cls", "left"), "named-classes")
+    smallest = staged(named.groupBy("root").agg(F.min("copy_id").alias("class_id")), "smallest-ids")
+    result = named.join(smallest, "root").select("cls", "copy_id", "class_id", (F.col("rows") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    # The rows of one class may be a third of all, and so may the classes of one component: both joins are between tables.
+    result = staged(result, "class-results")
     out = signed.select("id", "th", "n_shingles", "cls").join(result, "cls", "left")
     return out.select("id", "th", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_shingles").cast("long").alias("n_shingles"))
 

@@ -1,13 +1,20 @@
-"""Benchmark decontamination, native: winnowed fingerprints find candidate windows, exact text confirms them.
+"""Benchmark decontamination, native: winnowed fingerprints are joined, and exact text confirms what they find.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Every window of
 ``WINDOW`` words holds WINDOW - GRAM + 1 grams of ``GRAM`` words; winnowing keeps the smallest gram
 hash of each window. Equal windows keep equal hashes, so a shared span of WINDOW words or more is
-never missed: document windows whose kept hash is one of the benchmark's are candidates, and
-neighbouring candidates extend a hit word by word. Candidates are then compared as text.
+never missed. Neighbouring windows of a document that keep the same hash are one fingerprint, a row of its own,
+and fingerprints of documents and benchmark meet in a join; Spark broadcasts the benchmark's where their table
+is small, and deals both out otherwise. Runs that match are read as windows again and compared as text, and
+neighbouring windows extend a hit word by word.
+
+Windows that many items share are named once: a window carries the name of its set of items, a document the
+sets of its windows, and only distinct combinations of sets are spelt out as items. So a passage of boilerplate in all items
+and in many documents costs no row per document and item.
 
 Items of fewer words, but not none, are one window each and are looked up by a hash of all their
-words. Null texts have no words. Items with a null id can hit words but are not counted or named.
+words; they aren't winnowed, as winnowing promises nothing below its window. Texts may be of any length. Null
+texts have no words. Items with a null id can hit words but are not counted or named.
 Rows repeated in the documents are repeated in the result. Empty tables give no hits.
 """
 
@@ -16,26 +23,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .line_dedup import ascii_lower
+from .line_dedup import ascii_lower, let
 from .staging import staged
 
 #: Between words; of A-Z and a-z alike, as it is applied before or after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 GRAM = 5
-#: Benchmark fingerprints up to this many are compared within the scan, and windows up to ten times as many are broadcast; more are joined.
-SMALL = 20_000
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row, also where a lambda inside uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def word_hashes(w: Column) -> Column:
     return F.transform(w, lambda x: F.xxhash64(x))
 
@@ -69,74 +69,66 @@ def item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
     return base.select("item_id", F.explode(F.when(F.size("w") >= window, full).otherwise(short)).alias("x")).select("item_id", "x.*").distinct()
 
 
-def _in(value: Column, kept: list[int]) -> Column:
-    return value.isin(kept) if kept else F.lit(False)
+def runs(h: Column, n: int, window: int, gram: int) -> Column:
+    """array<struct<n, kept, at, to>>: the windows of n words that begin at words ``at`` to ``to`` all keep the hash ``kept``."""
+    entry = lambda kept, at, to: F.struct(F.lit(n).alias("n"), kept.alias("kept"), at.alias("at"), to.alias("to"))
+    if n < window:
+        return F.transform(grams(h, n), lambda x, i: entry(x, i, i))
+    least = let(grams(h, gram), lambda g: F.transform(_starts(h, window), lambda i: fingerprint(g, i, window - gram + 1)))
 
+    def parted(kept: Column) -> Column:
+        first = F.filter(F.transform(kept, lambda x, i: F.when((i == 0) | (x != F.get(kept, i - 1)), i)), lambda i: i.isNotNull())
+        return let(first, lambda f: F.transform(f, lambda at, k: entry(F.get(kept, at), at, F.coalesce(F.get(f, k + 1), F.size(kept)) - 1)))
 
-def candidates(w: Column, h: Column, kept: dict[int, list[int]] | None, lengths: list[int], window: int, gram: int, suspect: Column) -> Column:
-    """array<struct<pos, n, win>>: the document windows that may be an item's; with ``kept`` None, all of a suspect's."""
-    def of_length(n: int) -> Column:
-        if kept is None:
-            at = F.when(suspect, _starts(w, n)).otherwise(_none())
-        elif n == window:
-            # A fingerprint is a gram: where none of the grams is the benchmark's, no window need be winnowed.
-            at = let(grams(h, gram), lambda g: F.when(F.exists(g, lambda x: _in(x, kept[window])), F.filter(_starts(w, window), lambda i: _in(fingerprint(g, i, window - gram + 1), kept[window]))).otherwise(_none()))
-        else:
-            at = let(grams(h, n), lambda g: F.filter(_starts(w, n), lambda i: _in(F.get(g, i), kept[n])))
-        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("win")))
+    return let(least, parted)
 
-    nothing = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("win")))
-    return F.concat(nothing, *map(of_length, lengths))
 
+def item_sets(wins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((win, item_set) of each distinct window, (item_set, item_id)): windows of the same items have the same set."""
+    known = F.col("item_id").isNotNull()
+    part = lambda seed: F.coalesce(F.bit_xor(F.when(known, F.xxhash64(F.lit(seed), "item_id"))), F.lit(0).cast("long"))
+    named = staged(wins.groupBy("win").agg(F.concat_ws(".", F.count("item_id"), part(1), part(2)).alias("item_set")), "item-sets")
+    one = named.groupBy("item_set").agg(F.min("win").alias("win"))
+    return named, wins.where(known).join(one, "win").select("item_set", "item_id")
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, small: int = SMALL) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``docs``."""
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, th1, th2 of each row of ``docs``."""
     wins = staged(item_windows(items, window, gram), "item-windows")
-    lengths = sorted(r[0] for r in wins.select("n").distinct().collect())  # 1 to window
-    few = wins.select("n", "kept").distinct().limit(small + 1).count() <= small
+    prints = staged(wins.select("n", "kept").distinct(), "fingerprints")
+    lengths = sorted(r[0] for r in prints.select("n").distinct().collect())  # 1 to window
+    key = ["doc_id", "th1", "th2"]
     row = [F.col("doc_id"), F.xxhash64("text").alias("th1"), F.xxhash64(F.lit(1), F.col("text")).alias("th2")]
-    kept: dict[int, list[int]] | None = None
-    if few:
-        kept = {n: [] for n in lengths}
-        for r in wins.select("n", "kept").distinct().collect():
-            kept[r[0]].append(r[1])
-        source = docs.withColumn("suspect", F.lit(True))
-    else:
-        source = _suspects(docs, wins, row, lengths, window, gram)
-    found = source.select(*row, let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), let(word_hashes(w), lambda h: candidates(w, h, kept, lengths, window, gram, F.coalesce("suspect", F.lit(False)))).alias("c"))).alias("d"))
-    found = found.select("doc_id", "th1", "th2", "d.n_words", F.explode("d.c").alias("c")).select("doc_id", "th1", "th2", "n_words", "c.pos", "c.n", "c.win")
-    of_items = wins.select("win", "item_id")
-    if few and of_items.limit(10 * small + 1).count() <= 10 * small:
-        of_items = F.broadcast(of_items)
-    hit = found.join(of_items.withColumn("hit", F.lit(True)), "win", "left")
-    place = F.when(F.col("hit"), F.struct("pos", "n"))
-    summed = hit.groupBy("doc_id", "th1", "th2", "n_words").agg(
-        F.count_if(F.col("pos") == -1).alias("rows"), F.collect_set(place).alias("places"), F.collect_set("item_id").alias("ids")
-    )
+    # Each row also has an entry of no window, so that rows without a match stay; its hash spreads it.
+    nothing = F.array(F.struct(F.lit(0).alias("n"), F.xxhash64("text").alias("kept"), F.lit(-1).alias("at"), F.lit(-1).alias("to")))
+    found = lambda w: F.struct(F.size(w).alias("n_words"), let(word_hashes(w), lambda h: F.concat(nothing, *(runs(h, n, window, gram) for n in lengths))).alias("runs"))
+    spread = docs.select(*row, let(words(F.col("text")), found).alias("d")).select(*key, "d.n_words", F.explode("d.runs").alias("r")).select(*key, "n_words", "r.*")
+    met = spread.join(prints.withColumn("met", F.lit(True)), ["n", "kept"], "left").where(F.col("met") | (F.col("n") == 0))
+    of_row = met.groupBy(*key).agg(
+        F.first("n_words").alias("n_words"), F.count_if(F.col("n") == 0).alias("rows"), F.collect_set(F.when(F.col("met"), F.struct("n", "at", "to"))).alias("runs")
+    )
+    of_row = staged(of_row, "runs-of-rows")
+
+    suspects = of_row.where(F.size("runs") > 0).select(*(F.col(c).alias(f"__{c}") for c in key), "runs")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("th1") == F.col("__th1")) & (F.col("th2") == F.col("__th2"))
+    texts = docs.select(*row, "text").join(suspects, same).select(*key, "text", "runs")
+    read = lambda w: F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["at"], r["to"]), lambda i: F.struct(i.alias("pos"), r["n"].alias("n"), F.array_join(F.slice(w, i + 1, r["n"]), " ").alias("win")))))
+    windows = texts.select(*key, F.explode(let(words(F.col("text")), read)).alias("x")).select(*key, "x.*")
+    named, members = item_sets(wins)
+    hits = windows.join(named, "win").groupBy(*key).agg(F.collect_set(F.struct("pos", "n")).alias("places"), F.array_sort(F.collect_set("item_set")).alias("sets"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["pos"], p["pos"] + p["n"] - 1)))))
-    named = F.array_join(F.array_sort(F.transform("ids", lambda x: x.cast("string"))), ",")
-    out = summed.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"),
-        F.sha2(named.cast("binary"), 256).alias("items_sha256"), (covered > 0).alias("contaminated"), "th1", "th2", "rows",
+    hits = staged(hits.select(*key, covered.cast("long").alias("n_hit"), "sets"), "hits")
+
+    spelt = hits.select("sets").distinct().select("sets", F.explode("sets").alias("item_set")).join(members, "item_set").select("sets", "item_id").distinct()
+    spelt = spelt.groupBy("sets").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("ids"))
+    spelt = staged(spelt.select("sets", "n_items", F.sha2(F.col("ids").cast("binary"), 256).alias("items_sha256")), "combinations")
+    hits = hits.join(spelt, "sets", "left").select(*(F.col(c).alias(f"__{c}") for c in key), "n_hit", "n_items", "items_sha256")
+    out = of_row.join(hits, same, "left").select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"), "th1", "th2", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("__copy"),
     )
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("__copy", "rows")
-
-
-def _suspects(docs: DataFrame, wins: DataFrame, row: list[Column], lengths: list[int], window: int, gram: int) -> DataFrame:
-    """``docs`` with ``suspect``: whether a fingerprint is the benchmark's, found by a join of fingerprints."""
-
-    def of_length(h: Column, n: int) -> Column:
-        hashes = let(grams(h, gram), lambda g: F.transform(_starts(h, window), lambda i: fingerprint(g, i, window - gram + 1))) if n == window else grams(h, n)
-        return F.transform(F.array_distinct(hashes), lambda x: F.struct(F.lit(n).alias("n"), x.alias("kept")))
-
-    def all_kept(h: Column) -> Column:
-        return F.concat(F.array().cast("array<struct<n:int,kept:bigint>>"), *(of_length(h, n) for n in lengths))
-
-    prints = docs.select(*row, F.explode(let(word_hashes(words(F.col("text"))), all_kept)).alias("f")).select("doc_id", "th1", "th2", "f.*")
-    shared = prints.join(wins.select("n", "kept").distinct(), ["n", "kept"], "left_semi").select("doc_id", "th1", "th2").distinct()
-    keyed = docs.select("*", *[c.alias(a) for c, a in zip(row, ("__d", "__t1", "__t2"))])
-    match = [F.col("__d").eqNullSafe(F.col("__sd")), F.col("__t1").eqNullSafe(F.col("th1")), F.col("__t2").eqNullSafe(F.col("th2"))]
-    return keyed.join(shared.select(F.col("doc_id").alias("__sd"), "th1", "th2", F.lit(True).alias("suspect")), match, "left").drop("__d", "__t1", "__t2", "__sd", "th1", "th2")
+    return out.drop("__copy")
 
 
 def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -2,11 +2,14 @@
 
 import hashlib
 import textwrap
+import time
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from folianth.llm import license_scan, line_dedup, winnow
+from folianth.llm.staging import staged
 
 from .common import HAVE, LONG, LOWER, SF, UPPER, documents, empty, rows, words
 
@@ -74,10 +77,85 @@ def plain_windows(data, items):
     return Counter(out)
 
 
-@pytest.mark.parametrize("small", [20000, 0])
-def test_decontamination(spark, small):
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert Counter(map(tuple, winnow.report(documents(spark), items, small=small).collect())) == plain_windows(rows(), ITEMS)
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_decontamination(spark, broadcast):
+    """With the benchmark's side broadcast by Spark, and with both sides dealt out."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        items = spark.createDataFrame(ITEMS, "item_id long, text string")
+        assert Counter(map(tuple, winnow.report(documents(spark), items).collect())) == plain_windows(rows(), ITEMS)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_boilerplate_of_all_items(spark):
+    """A passage that all items and many documents hold gives no row per document and item."""
+    shared = " ".join(f"w{i}" for i in range(14))
+    items = [(i, f"{shared} item{i} " + " ".join(f"i{i}x{k}" for k in range(12))) for i in range(300)]
+    docs = [(i, f"doc {i} {shared} end {i}") for i in range(200)] + [(1000, items[7][1]), (1001, "x " + items[9][1] + " " + items[8][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert Counter(map(tuple, winnow.report(df, spark.createDataFrame(items, "item_id long, text string")).collect())) == plain_windows(docs, items)
+
+
+def test_runs_are_winnowed_windows(spark):
+    """Runs cover every window once, and each window keeps the smallest hash of its grams."""
+    texts = ["a b c d e f g h i j k l m n o p q r s t u v", LONG, "a a a a a a a a a a a a a", "one two", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    w = winnow.word_hashes(winnow.words(F.col("t")))
+    got = df.select("t", winnow.runs(w, 10, 10, 5).alias("runs"), winnow.grams(w, 5).alias("g")).collect()
+    for r in got:
+        kept = [min(r.g[i : i + 6]) for i in range(len(words(r.t)) - 9)]
+        assert [x.kept for x in r.runs for _ in range(x["at"], x["to"] + 1)] == kept
+        assert [i for x in r.runs for i in range(x["at"], x["to"] + 1)] == list(range(len(kept)))
+        assert all(a.kept != b.kept for a, b in zip(r.runs, r.runs[1:]))
+
+
+def splits(df):
+    """How many joins of the executed plan were split for skew."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("skew=true")
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16",
+}
+
+
+@pytest.fixture
+def skew(spark):
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_line_of_half_of_all_documents_is_split(spark, skew):
+    data = [(i, f"a line that half of all documents hold\nand line {i} of its own" if i % 2 else f"only the line {i} here\nand also line {i} here") for i in range(20_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    keyed = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.posexplode(line_dedup.split_lines(F.col("text"))).alias("pos", "line"))
+    lines = staged(keyed.select("id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2")), "lines")
+    lost = line_dedup.lost_lines(lines, staged(line_dedup.repeated_keys(lines, 2), "repeated"))
+    assert splits(lost) == 1 and lost.count() == 9_999
+    assert sum(r.n_dropped for r in line_dedup.report(df).collect()) == 9_999
+
+
+def test_a_text_of_many_lines_takes_no_square_of_them(spark):
+    line = "line number %d of a text that has very many of them"
+    text = "\n".join(line % i for i in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nan end of its own")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.n_dropped for r in line_dedup.report(df).collect()}
+    assert got == {1: 0, 2: 200_000} and time.time() - began < 60
+
+
+def test_emptied_documents_go_and_empty_ones_stay(spark):
+    data = [(1, "the first line of all\nthe second line"), (2, "The second line\n  the first line of all"), (3, "the second line\n \t"), (4, ""), (5, None), (6, "\n \n"), (7, "the second line\nx")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated(df, drop_emptied=True).collect()} == {1: data[0][1], 4: "", 5: "", 6: "\n \n", 7: "x"}
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()}[2] == ""
 
 
 def test_decontamination_of_nothing(spark):
