@@ -15,12 +15,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ends of all edges; edges within one node go. Every edge keeps its ends together, so no round
     parts a component, and the edges shrink fast. Only "is it empty" comes to the driver. Any
     orderable type may name the nodes; loops and repeated edges change nothing.
+
+    A node that a large part of all nodes hook to is one key of these joins. Their sides are read from tables
+    or dealt out anew, never the outcome of an aggregation by the same key, so adaptive execution may split it.
     """
     tidy = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     links = staged(edges.select(*tidy("a", "b")).where("a <> b").distinct(), "edges")
     labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     for _ in range(max_rounds):
-        hook = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+        hook = staged(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "hooks")
         for _ in range(2):
             above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
             hook = hook.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
