@@ -1,7 +1,9 @@
 """HTML main text and TIFF round trips."""
 
 import hashlib
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from hypothesis import strategies as st
 
 from folianth.llm import html_text, tiff
 
-from .common import TEXTS, documents, empty, rows
+from .common import HAVE, SF, TEXTS, documents, empty, rows
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var x="</p>";</script></head><body>
 <nav><ul><li><a href=x>Menu</a></li></ul></nav><div class="ad">Buy</div><article><h1>Head &amp; line</h1>
@@ -61,6 +63,99 @@ def test_names_of_wrappers_lose_no_article(tag):
     assert html_text.main_text(f"<article><div class='comments'><p>{LONG}</p></div></article>") == LONG.strip()
 
 
+def test_windows_choose_the_text_of_marked_pages(monkeypatch):
+    """Lists of links at the end of an article, and what main holds besides text, are left by surge and dive, not by names."""
+    links = "<ul>" + "".join(f"<li><a href='#'>Further article {i}</a></li>" for i in range(6)) + "</ul>"
+    text = f"<h1><a href='#'>Head</a></h1><p>By Ann</p><p>{LONG}</p><p><a href='#'>One link</a></p><p>Short.</p>"
+    want = ["Head", "By Ann", LONG.strip(), "One link", "Short."]
+    article = f"<body>{MENU}<article>{links}{text}{links}</article><p>{LONG}</p></body>"
+    main = f"<body>{MENU}<main>{links}<div>{text}</div>{links}<div>Alone</div><article><a href='#'>A teaser</a> of another page</article></main><p>{LONG}</p></body>"
+    assert html_text.main_text(article).split("\n") == want
+    assert html_text.main_text(main).split("\n") == want
+    monkeypatch.setattr(html_text, "distribution", lambda w, window, threshold: w >= 0)
+    assert html_text.main_text(article).split("\n") != want and html_text.main_text(main).split("\n") != want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([-1, 0, 0, 1, 20, 60, 90, 200]), max_size=30), st.sampled_from([0, 86]))
+def test_distribution_equals_a_plain_version(weights, threshold):
+    n, kept, i = len(weights), set(), 0
+    ahead = lambda i: sum(max(0, w) for w in weights[i : i + 3])
+    while i < n:
+        if weights[i] <= 0 or ahead(i) <= threshold:
+            i += 1
+            continue
+        dive = next((k for k in range(i, n) if ahead(k) == 0 or weights[k] < 0), n)
+        surge = i
+        while surge > 0 and weights[surge - 1] > 0 and surge - 1 not in kept:
+            surge -= 1
+        kept |= set(range(surge, dive))
+        i = dive
+    got = html_text.distribution(np.array(weights, np.int64), 3, threshold)
+    assert set(np.flatnonzero(got).tolist()) == kept
+
+
+class Plain(HTMLParser):
+    """The article of a page whose article is marked, block by block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.out = 0
+        self.lines, self.text, self.raw = [], [], None
+
+    def cut(self):
+        self.lines.append(" ".join("".join(self.text).split()))
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCKS:
+            self.cut()
+        self.inside += tag == "article"
+        self.out += tag in ("nav", "aside", "footer", "form", "head") or "ad" in dict(attrs).get("class", "").split() or "comments" in dict(attrs).get("class", "").split()
+        if tag == "br":
+            self.text.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.cut()
+        self.inside -= tag == "article"
+        self.out -= tag in ("nav", "aside", "footer", "form", "head")
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.text.append(data)
+
+
+@pytest.mark.skipif(not HAVE, reason="needs the driver's tables")
+def test_pages_equal_a_plain_version(spark):
+    for r in spark.read.parquet(SF.replace("0.001", "0.01") + "/pages.parquet").collect():
+        if "<article>" in (r.html or ""):
+            plain = Plain()
+            plain.feed(r.html[r.html.index("<article>") :])
+            assert html_text.main_text(r.html).split("\n") == [x for x in plain.lines if x]
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 8000 + "</i>" * 8000, "<b>" * 8000 + "<div>x</div>" * 4000, "<div>x" * 9000, "<div class='sidebar'>x" * 3000, "<ul><li>" * 4000 + "x</li>" * 4000,
+    "<iframe>" * 8000 + "x", "<a>" * 8000 + "<p>x" * 5000, "<article>" + "<p>word " * 20_000,
+])
+def test_deep_and_long_pages_take_linear_time(page):
+    began = time.time()
+    html_text.main_text(page)
+    assert time.time() - began < 2
+    assert html_text.main_text("<noscript>Turn it on" + "</noscript><p>Text") == "Text"
+    assert html_text.main_text("<p>Text</p><textarea>open <p>more") == "Text\nopen\nmore"
+
+
+def test_awkward_pages(spark):
+    """Very long pages, equal pages, extra columns with names used inside."""
+    long = "<article>" + "".join(f"<p>Paragraph {i}</p>" for i in range(30_000)) + "</article>"
+    df = spark.createDataFrame([(1, "u", long, "a", 1), (1, "u", long, "b", 2), (2, "v", "  ", None, None), (3, None, "<p></p>", "c", 3)], "page_id long, url string, html string, __page string, n_chars long")
+    got = [(r.page_id, r.n_chars, r.text.count("\n")) for r in html_text.extract(df).collect()]
+    n = sum(len(f"Paragraph {i}") for i in range(30_000)) + 29_999
+    assert sorted(got) == [(1, n, 29_999), (1, n, 29_999), (2, 0, 0), (3, 0, 0)]
+
+
 def test_formulas_and_objects_stay():
     math = "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math>"
     assert html_text.main_text(f"<article><p>So {math} holds.</p><object data='a'><p>A chart</p></object></article>") == "So x=1 holds.\nA chart"
