@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document holds."""
-    return line_dedup.deduplicated(docs)
+    """Texts without the lines that an earlier document holds; a document of which only white space is left goes."""
+    return line_dedup.deduplicated(docs, drop_emptied=True)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
