@@ -1,4 +1,4 @@
-"""Licence scans, native: lines compared with licence templates by Dice's coefficient over word bigrams.
+"""Licence scans, native: lines and windows of words compared with licence templates by Dice's coefficient over word bigrams.
 
 A line is lower-cased (A-Z), what isn't a-z or 0-9 parts words, and its distinct pairs of
 neighbouring words make a set. Dice is 2 |A and B| / (|A| + |B|), so a template can reach a
@@ -8,23 +8,28 @@ compared. Lines without a pair of words match nothing.
 Notices that are wrapped or stand within longer lines are found by windows over the words of the
 whole text (``windows``), with whole short licences and further notices as templates. A window has
 as many words as its template, or up to half as many more: a shorter one could leave out just the
-version number. Every template needs t / (2 - t) of its pairs somewhere in the text, or it isn't
-tried. Of overlapping windows the one with most common pairs after the pairs of one side alone are
+version number. Of overlapping windows the one with most common pairs after the pairs of one side alone are
 taken off stays. A line that matches counts as such, unless a window twice as long contains it.
 
-Everything happens within a row, without a shuffle; null and empty texts have no match; repeated
-rows give equal rows; extra columns are not read.
+Templates are a table (``template_table``; any number of them). Either way a match holds at least t / (2 - t) of a
+template's pairs, so it holds one of any larger remainder of them: the rarest pairs, by their length, are an inverted index. The
+pairs of all texts are joined with it, which Spark does by broadcast while the index is small, and only the (text, template) rows that
+come out are compared.
+
+Null and empty texts have no match; texts may be of any length; an empty table gives an empty table; repeated rows
+give equal rows, each as often as before; matches that tie go to the later place, lines that tie to the last licence by name; extra columns
+are not read.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import UPPER, ascii_lower, let, split_lines
+from .staging import staged
 
 THRESHOLD = 0.8
 
@@ -126,110 +131,143 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), "[^a-z0-9]+"), "")
 
 
-def bigrams(line: Column) -> Column:
-    return let(split_words(line), lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))).otherwise(F.array().cast("array<string>")))
+def neighbours(w: Column) -> Column:
+    """All pairs of neighbouring words, in order."""
+    return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
 
-def _bounds(n: int, threshold: float) -> tuple[float, float]:
-    return threshold / (2 - threshold) * n - 1e-9, (2 - threshold) / threshold * n + 1e-9
+def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+    """(license, text, by_line): ``templates`` are compared with lines and windows, ``notices`` with windows only. Any table of these columns will do."""
+    rows = [F.struct(F.lit(n).alias("license"), F.lit(t).alias("text"), F.lit(line).alias("by_line")) for of, line in ((templates, True), (notices, False)) for n, t in of]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def matches(text: Column, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """array<struct<dice, license, line>>: the best template of each line that reaches the threshold, lines from 0."""
-    sets = [(name, template_bigrams(t)) for name, t in templates]
-    ends = [_bounds(len(b), threshold) for _, b in sets]
-    low, high = min(e[0] for e in ends), max(e[1] for e in ends)
-    nothing = F.lit(None).cast("struct<dice:double,license:string>")
+def prepared(templates: DataFrame, threshold: float) -> DataFrame:
+    """tid, license, by_line, n (words), known (pairs), least (pairs that a match holds), low and high (pairs that a line has)."""
+    share = threshold / (2 - threshold)
+    words = templates.select("license", "by_line", split_words(F.col("text")).alias("w")).groupBy("license", "w").agg(F.bool_or("by_line").alias("by_line"))
+    known = words.select(F.xxhash64("license", "w").alias("tid"), "license", "by_line", F.size("w").alias("n"), F.array_sort(F.array_distinct(neighbours(F.col("w")))).alias("known")).where(F.size("known") > 0)
+    size = F.size("known")
+    return known.select("*", F.greatest(F.lit(1), F.ceil(share * size - 1e-9).cast("int")).alias("least"), (share * size - 1e-9).alias("low"), (size / share + 1e-9).alias("high"))
 
-    def best(b: Column) -> Column:
-        def dice(name: str, known: list[str], bounds: tuple[float, float]) -> Column:
-            common = F.size(F.array_intersect(b, F.array(*map(F.lit, known))))
-            value = F.round(2.0 * common / (F.size(b) + len(known)), 6)
-            return F.when(F.size(b).between(*bounds), F.struct(value.alias("dice"), F.lit(name).alias("license")))
 
-        # A tie goes to the last name in order.
-        return F.when(F.size(b).between(low, high), F.array_max(F.array(*(dice(name, known, e) for (name, known), e in zip(sets, ends))))).otherwise(nothing)
+def inverted_index(known: DataFrame) -> DataFrame:
+    """(pair, tid): as many pairs of each template, longest first, as a match can't do without."""
+    ordered = F.transform(F.array_sort(F.transform("known", lambda b: F.struct((-F.length(b)).alias("l"), b.alias("b")))), lambda x: x["b"])
+    return known.select("tid", F.explode(F.slice(ordered, F.lit(1), F.size("known") - F.col("least") + 1)).alias("pair")).select(F.xxhash64("pair").alias("pair"), "tid")
 
-    found = F.transform(split_lines(text), lambda x, i: let(let(bigrams(x), best), lambda m: F.when(m["dice"] >= threshold, F.struct(m["dice"].alias("dice"), m["license"].alias("license"), i.alias("line")))))
-    return F.filter(found, lambda m: m.isNotNull())
 
+KEY = ("doc_id", "th1", "th2")
 
-def scan(docs: DataFrame, row_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """row_id, matches (see ``matches``) of every row."""
-    return docs.select(row_id, matches(F.col(text), templates, threshold).alias("matches"))
 
+def keyed(docs: DataFrame, row_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(row_id).alias("doc_id"), F.xxhash64(text).alias("th1"), F.xxhash64(F.lit(1), F.col(text)).alias("th2"), F.coalesce(text, F.lit("")).alias("text"))
 
-def windows(text: Column, templates: list[tuple[str, str]] = TEMPLATES + NOTICES, threshold: float = THRESHOLD) -> Column:
-    """array<struct<gain, at, to, dice, license>>: windows of words ``at`` to ``to`` - 1 that reach the threshold and don't overlap, best first."""
-    share = threshold / (2 - threshold)
-    known = [(name, len(re.findall("[a-z0-9]+", t.lower())), template_bigrams(t)) for name, t in templates]
-    least = [max(1, math.ceil(share * len(b) - 1e-9)) for _, _, b in known]
-    all_known = F.array(*map(F.lit, sorted({x for _, _, b in known for x in b})))
-    patterns = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(n).alias("n"), F.array(*map(F.lit, b)).alias("known"), F.lit(k).alias("least")) for (name, n, b), k in zip(known, least)))
-    kind = "array<struct<gain:int,at:int,to:int,dice:double,license:string>>"
 
-    def compared(g: Column, t: Column, at: Column, size: float) -> Column:
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    return left["doc_id"].eqNullSafe(right["__doc_id"]) & (left["th1"] == right["__th1"]) & (left["th2"] == right["__th2"])
+
+
+def renamed(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"__{c}") for c in KEY), *(c for c in rows.columns if c not in KEY))
+
+
+def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, th1, th2, tid): the templates that may match in a text."""
+    pairs = docs.select(*KEY, F.transform(neighbours(split_words(F.col("text"))), lambda b: F.xxhash64(b)).alias("p")).select(*KEY, F.explode("p").alias("pair"))
+    return staged(pairs.join(staged(inverted_index(known), "pairs"), "pair").select(*KEY, "tid").distinct(), "candidates")
+
+
+def line_matches(text: Column, t: Column, threshold: float) -> Column:
+    """array<struct<line, dice, license, at, to>>: lines that reach the threshold, from 0, and their words ``at`` to ``to`` - 1."""
+    lines = let(split_lines(text), lambda ls: F.transform(ls, lambda x: split_words(x)))
+
+    def compared(w: Column, i: Column) -> Column:
+        return let(F.array_distinct(neighbours(w)), lambda b: F.when(F.size(b).between(t["low"], t["high"]), F.struct(
+            i.alias("line"), F.round(2.0 * F.size(F.array_intersect(b, t["known"])) / (F.size(b) + F.size(t["known"])), 6).alias("dice"), t["license"].alias("license"), F.size(w).alias("n"))))
+
+    def found(ls: Column) -> Column:
+        good = F.filter(F.transform(ls, compared), lambda m: m["dice"] >= threshold)
+        before = lambda m: F.aggregate(F.slice(ls, F.lit(1), m["line"]), F.lit(0), lambda n, w: n + F.size(w))
+        return F.transform(good, lambda m: let(before(m), lambda at: F.struct(m["line"].alias("line"), m["dice"].alias("dice"), m["license"].alias("license"), at.alias("at"), (at + m["n"]).alias("to"))))
+
+    return let(lines, found)
+
+
+def windows(text: Column, t: Column, threshold: float) -> Column:
+    """array<struct<gain, at, to, dice, license>>: at each place the best window of words ``at`` to ``to`` - 1 that reaches the threshold; ``at`` is negated, so that the first of equals is the largest."""
+
+    def compared(g: Column, at: Column, size: float) -> Column:
         """The window of words that begins at pair ``at``; it ends where the text does."""
         to = F.least(at + F.ceil(t["n"] * F.lit(size)).cast("int"), F.size(g) + 1)
         return let(F.array_distinct(F.slice(g, at + 1, to - at - 1)), lambda a: let(F.size(F.array_intersect(a, t["known"])), lambda c: F.struct(
             (3 * c - F.size(a) - F.size(t["known"])).alias("gain"), (-at).alias("at"), to.alias("to"),
-            F.round(2.0 * c / (F.size(a) + F.size(t["known"])), 6).alias("dice"), t["name"].alias("license"))))
+            F.round(2.0 * c / (F.size(a) + F.size(t["known"])), 6).alias("dice"), t["license"].alias("license"))))
 
-    def of_template(g: Column, t: Column) -> Column:
+    def search(g: Column) -> Column:
         def starts(h: Column) -> Column:
             # Enough known pairs must follow within the longest window.
             near = F.filter(h, lambda x, q: F.coalesce(F.get(h, q + t["least"] - 1) - x < F.ceil(t["n"] * F.lit(SIZES[-1])), F.lit(False)))
-            best = F.transform(near, lambda x: F.array_max(F.filter(F.array(*(compared(g, t, x, m) for m in SIZES)), lambda m: m["dice"] >= threshold)))
+            best = F.transform(near, lambda x: F.array_max(F.filter(F.array(*(compared(g, x, m) for m in SIZES)), lambda m: m["dice"] >= threshold)))
             return F.filter(best, lambda m: m.isNotNull())
 
         return let(F.filter(F.transform(g, lambda b, i: F.when(F.array_contains(t["known"], b), i)), lambda i: i.isNotNull()), starts)
 
-    def apart(found: Column) -> Column:
-        # By gain, then by place in the text, which is held negated until here.
-        best_first = F.transform(F.reverse(F.array_sort(found)), lambda m: F.struct(m["gain"].alias("gain"), (-m["at"]).alias("at"), m["to"].alias("to"), m["dice"].alias("dice"), m["license"].alias("license")))
-        free = lambda kept, m: ~F.exists(kept, lambda k: (k["at"] < m["to"]) & (m["at"] < k["to"]))
-        return F.aggregate(best_first, F.array().cast(kind), lambda kept, m: F.when(free(kept, m), F.concat(kept, F.array(m)).cast(kind)).otherwise(kept))
+    return let(neighbours(split_words(text)), search)
 
-    def search(g: Column) -> Column:
-        def tried(d: Column) -> Column:
-            some = F.filter(patterns, lambda t: F.size(F.array_intersect(d, t["known"])) >= t["least"])
-            return F.when(F.size(d) >= min(least), apart(F.flatten(F.transform(some, lambda t: of_template(g, t)))).cast(kind)).otherwise(F.array().cast(kind))
 
-        return let(F.array_intersect(g, all_known), tried)
+def apart(found: Column) -> Column:
+    """Windows that don't overlap: by gain, then by place in the text."""
+    kind = "array<struct<gain:int,at:int,to:int,dice:double,license:string>>"
+    best_first = F.transform(F.reverse(F.array_sort(found)), lambda m: F.struct(m["gain"].alias("gain"), (-m["at"]).alias("at"), m["to"].alias("to"), m["dice"].alias("dice"), m["license"].alias("license")))
+    free = lambda kept, m: ~F.exists(kept, lambda k: (k["at"] < m["to"]) & (m["at"] < k["to"]))
+    return F.aggregate(best_first, F.array().cast(kind), lambda kept, m: F.when(free(kept, m), F.concat(kept, F.array(m)).cast(kind)).otherwise(kept))
 
-    pairs = let(split_words(F.coalesce(text, F.lit(""))), lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
-    return let(pairs, search)
 
+def best_of_lines(found: Column) -> Column:
+    """The best template of each line; a tie goes to the last name in order."""
+    return let(F.array_sort(found), lambda ms: F.filter(ms, lambda m, i: F.coalesce(F.get(ms, i + 1)["line"] != m["line"], F.lit(True))))
 
-def merged(text: Column, lines: Column, found: Column) -> Column:
+
+def merged(lines: Column, found: Column) -> Column:
     """array<struct<dice, license>>: matching lines, and windows apart from them; a window twice as long as a line that it contains replaces it."""
     kind = "array<struct<dice:double,license:string>>"
     plain = lambda ms: F.transform(ms, lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license")))
+    over = lambda w, m: (w["at"] <= m["at"]) & (w["to"] >= m["to"]) & (w["to"] - w["at"] >= 2 * (m["to"] - m["at"]))
+    touch = lambda w, m: (w["at"] < m["to"]) & (m["at"] < w["to"])
+    wide = F.filter(found, lambda w: ~F.exists(lines, lambda m: touch(w, m) & ~over(w, m)))
+    return let(wide, lambda ws: F.concat(plain(F.filter(lines, lambda m: ~F.exists(ws, lambda w: over(w, m)))), plain(ws)).cast(kind))
+
 
-    def places(ends: Column) -> Column:
-        """Matching lines with their words ``at`` to ``to`` - 1."""
-        return F.transform(lines, lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license"), F.get(ends, m["line"]).alias("at"), F.get(ends, m["line"] + 1).alias("to")))
+def compared(docs: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
+    """(__doc_id, __th1, __th2, lines, found) of the texts (see ``keyed``) in which a line or a window matches."""
+    known = staged(prepared(templates, threshold), "templates")
+    wanted = renamed(candidates(docs, known))
+    rows = docs.join(wanted, same_row(docs, wanted)).join(known, "tid")
+    t = F.struct("license", "n", "known", "least", "low", "high")
+    none = lambda c: c.cast("array<struct<line:int,dice:double,license:string,at:int,to:int>>")
+    lines = F.when(F.col("by_line"), none(let(t, lambda x: line_matches(F.col("text"), x, threshold)))).otherwise(none(F.array()))
+    hits = rows.select(*KEY, lines.alias("lines"), let(t, lambda x: windows(F.col("text"), x, threshold)).alias("found")).where((F.size("lines") > 0) | (F.size("found") > 0))
+    hits = hits.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    return staged(renamed(hits).select(*(f"__{c}" for c in KEY), best_of_lines(F.col("lines")).alias("lines"), apart(F.col("found")).alias("found")), "matches")
 
-    def both(placed: Column) -> Column:
-        over = lambda w, m: (w["at"] <= m["at"]) & (w["to"] >= m["to"]) & (w["to"] - w["at"] >= 2 * (m["to"] - m["at"]))
-        touch = lambda w, m: (w["at"] < m["to"]) & (m["at"] < w["to"])
-        wide = F.filter(found, lambda w: ~F.exists(placed, lambda m: touch(w, m) & ~over(w, m)))
-        return let(wide, lambda ws: F.concat(plain(F.filter(placed, lambda m: ~F.exists(ws, lambda w: over(w, m)))), plain(ws)).cast(kind))
 
-    sizes = F.transform(split_lines(text), lambda x: F.size(split_words(x)))
-    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return F.when(F.size(found) == 0, plain(lines).cast(kind)).when(F.size(lines) == 0, plain(found).cast(kind)).otherwise(let(let(ends, places), both))
+def scan(docs: DataFrame, row_id: str = "doc_id", text: str = "text", templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """row_id, matches (array<struct<line, dice, license, at, to>>: the best template of each line that reaches the threshold) of every row."""
+    rows = keyed(docs, row_id, text)
+    hits = compared(rows, template_table(docs.sparkSession, notices=[]) if templates is None else templates, threshold)
+    return rows.join(hits, same_row(rows, hits), "left").select(F.col("doc_id").alias(row_id), F.coalesce("lines", F.expr("array()").cast(hits.schema["lines"].dataType)).alias("matches"))
 
 
-def report(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+def report(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_matches, licenses (distinct, sorted, comma-joined), best_dice (0 without a match) of every row."""
-    text = F.col("text")
-    both = F.struct(matches(text, templates, threshold).alias("lines"), windows(text, templates + notices, threshold).alias("found"))
-    found = docs.select("doc_id", let(both, lambda b: merged(text, b["lines"], b["found"])).alias("matches"))
-    return found.select(
+    rows = keyed(docs, "doc_id", "text")
+    hits = compared(rows, template_table(docs.sparkSession) if templates is None else templates, threshold)
+    hits = hits.withColumn("matches", merged(F.col("lines"), F.col("found"))).drop("lines", "found")
+    return rows.join(hits, same_row(rows, hits), "left").select(
         "doc_id",
-        F.size("matches").cast("long").alias("n_matches"),
-        F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+        F.coalesce(F.size("matches"), F.lit(0)).cast("long").alias("n_matches"),
+        F.coalesce(F.array_join(F.array_sort(F.array_distinct("matches.license")), ","), F.lit("")).alias("licenses"),
         F.coalesce(F.array_max("matches.dice"), F.lit(0.0)).alias("best_dice"),
     )
 
