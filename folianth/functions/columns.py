@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import JUNK_NAMES, JUNK_WORDS, SOUNDS, fold as py_fold
+from .text import JUNK_NAMES, JUNK_WORDS, fold as py_fold
 
 # Java's patterns are of ASCII unless told otherwise; (?d) gives the dot its plain meaning.
 U = "(?U)"
@@ -158,7 +158,7 @@ def is_name(c: Column | str) -> Column:
 
 
 def skeleton(t: Column) -> Column:
-    for old, new in SOUNDS:
+    for old, new in fixed.SOUNDS:
         t = _replace(t, old, new)
     first, tail = F.substring(t, 1, 1), F.substring(t, 2, 1 << 20)
     tail = F.when(first == "j", F.regexp_replace(tail, "[aeiouyjh]", "")).otherwise(F.regexp_replace(tail, "[aeiouyjhv]", ""))

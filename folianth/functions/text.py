@@ -16,10 +16,9 @@ for _big, _out in fixed.CYRILLIC.items():
     _latin[ord(_big.lower())] = _out.lower()
 _dj = {0x110: "Dj", 0x111: "dj"}
 
-JUNK_NAMES = frozenset(x.strip() for x in fixed.JUNK_NAMES.split(","))
-JUNK_WORDS = frozenset(fixed.JUNK_WORDS.split())
-FIRST_NAMES = frozenset(fixed.FIRST_NAMES.split())
-SOUNDS = [tuple(x.split(">")) for x in fixed.SOUNDS.split(" ")]
+JUNK_NAMES = frozenset(fixed.JUNK_NAMES)
+JUNK_WORDS = frozenset(fixed.JUNK_WORDS)
+FIRST_NAMES = frozenset(fixed.FIRST_NAMES)
 
 _web = re.compile(fixed.WEB, re.I)
 _foreign = re.compile(fixed.FOREIGN)
@@ -73,7 +72,7 @@ def sound(token: str) -> str:
 @lru_cache(1 << 16)
 def skeleton(token: str) -> str:
     """The consonants that outlast transcription."""
-    for old, new in SOUNDS:
+    for old, new in fixed.SOUNDS:
         token = token.replace(old, new)
     first, tail = token[:1], token[1:]
     tail = re.sub("[aeiouyjh]" if first == "j" else "[aeiouyjhv]", "", tail)

@@ -19,10 +19,6 @@ def taxonomy(spark: SparkSession, genres: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame(list(enumerate(genres or fixed.GENRES)), "pos int, genre string")
 
 
-def _aliases() -> dict[str, str]:
-    return {a.strip(): g for g, names in fixed.GENRE_ALIASES.items() for a in names.split(",")}
-
-
 def _norm(s: str) -> str:
     return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in fold(s)).split())
 
@@ -35,7 +31,7 @@ def match_genre(answer: Column, genres: list[str] | None = None) -> Column:
     """
     genres = genres or fixed.GENRES
     exact = dict(reversed([(_norm(g), g) for g in genres]))
-    table = {k: v for k, v in (_aliases() | exact).items()}
+    table = {k: v for k, v in (fixed.GENRE_ALIASES | exact).items()}
     lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     names = list(exact)
 

@@ -72,7 +72,7 @@ def name_display(spark, sf_dir):
 
 
 _sounds = "t"
-for _a, _b in (x.split(">") for x in fixed.SOUNDS.split(" ")):
+for _a, _b in fixed.SOUNDS:
     _sounds = f"replace({_sounds}, '{_a}', '{_b}')"
 _doubles = "t"
 for _c in "bcdfgklmnprstvjhzqwx":
