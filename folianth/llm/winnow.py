@@ -109,7 +109,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     )
     of_row = staged(of_row, "runs-of-rows")
 
-    suspects = of_row.where(F.size("runs") > 0).select(*(F.col(c).alias(f"__{c}") for c in key), "runs")
+    # A table of its own, whose size Spark knows: while it is small the texts aren't dealt out for it.
+    suspects = staged(of_row.where(F.size("runs") > 0).select(*(F.col(c).alias(f"__{c}") for c in key), "runs"), "suspects")
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("th1") == F.col("__th1")) & (F.col("th2") == F.col("__th2"))
     texts = docs.select(*row, "text").join(suspects, same).select(*key, "text", "runs")
     read = lambda w: F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["at"], r["to"]), lambda i: F.struct(i.alias("pos"), r["n"].alias("n"), F.array_join(F.slice(w, i + 1, r["n"]), " ").alias("win")))))
