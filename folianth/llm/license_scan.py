@@ -12,9 +12,9 @@ version number. Of overlapping windows the one with most common pairs after the
 taken off stays. A line that matches counts as such, unless a window twice as long contains it.
 
 Templates are a table (``template_table``; any number of them). Either way a match holds at least t / (2 - t) of a
-template's pairs, so it holds one of any larger remainder of them: the rarest pairs, by their length, are an inverted index. The
-pairs of all texts are joined with it, which Spark does by broadcast while the index is small, and only the (text, template) rows that
-come out are compared.
+template's pairs, so it holds one of any larger remainder of them: the rarest pairs, by their length, are an inverted index. Texts
+are read once: their pairs are looked up among the hashes of the index, texts without any are done with, and the others are joined with the
+index and the templates (a parameter, whose tables Spark broadcasts) and compared with the templates that come out. No text leaves its task.
 
 Null and empty texts have no match; texts may be of any length; an empty table gives an empty table; repeated rows
 give equal rows, each as often as before; matches that tie go to the later place, lines that tie to the last licence by name; extra columns
@@ -132,10 +132,14 @@ def split_words(text: Column) -> Column:
 
 
 def neighbours(w: Column) -> Column:
-    """All pairs of neighbouring words, in order."""
+    """All pairs of neighbouring words, in order; ``w`` is read several times."""
     return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
 
+def pair_hashes(w: Column) -> Column:
+    return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+
+
 def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """(license, text, by_line): ``templates`` are compared with lines and windows, ``notices`` with windows only. Any table of these columns will do."""
     rows = [F.struct(F.lit(n).alias("license"), F.lit(t).alias("text"), F.lit(line).alias("by_line")) for of, line in ((templates, True), (notices, False)) for n, t in of]
@@ -152,9 +156,11 @@ def prepared(templates: DataFrame, threshold: float) -> DataFrame:
 
 
 def inverted_index(known: DataFrame) -> DataFrame:
-    """(pair, tid): as many pairs of each template, longest first, as a match can't do without."""
+    """(pair, tid, pairs): the hash of each of as many pairs of a template, longest first, as a match can't do without, and of all of them."""
     ordered = F.transform(F.array_sort(F.transform("known", lambda b: F.struct((-F.length(b)).alias("l"), b.alias("b")))), lambda x: x["b"])
-    return known.select("tid", F.explode(F.slice(ordered, F.lit(1), F.size("known") - F.col("least") + 1)).alias("pair")).select(F.xxhash64("pair").alias("pair"), "tid")
+    chosen = F.slice(ordered, F.lit(1), F.size("known") - F.col("least") + 1)
+    pairs = F.transform(chosen, lambda b: let(F.split(b, " "), lambda w: F.xxhash64(w[0], w[1])))
+    return known.select("tid", pairs.alias("pairs")).select(F.explode("pairs").alias("pair"), "tid", "pairs")
 
 
 KEY = ("doc_id", "th1", "th2")
@@ -173,9 +179,14 @@ def renamed(rows: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, th1, th2, tid): the templates that may match in a text."""
-    pairs = docs.select(*KEY, F.transform(neighbours(split_words(F.col("text"))), lambda b: F.xxhash64(b)).alias("p")).select(*KEY, F.explode("p").alias("pair"))
-    return staged(pairs.join(staged(inverted_index(known), "pairs"), "pair").select(*KEY, "tid").distinct(), "candidates")
+    """``docs`` (see ``keyed``) with the tid of each template that may match in the text, a row each."""
+    index = staged(inverted_index(known), "pairs")
+    pairs = [r[0] for r in index.select("pair").distinct().collect()]  # of the templates, which are a parameter
+    found = let(split_words(F.col("text")), lambda w: F.array_distinct(F.filter(pair_hashes(w), lambda x: x.isin(pairs) if pairs else F.lit(False))))
+    some = docs.withColumn("found", found).where(F.size("found") > 0)
+    met = some.select("*", F.explode("found").alias("pair")).join(F.broadcast(index), "pair")
+    # A template that several pairs of the text name counts where the first of them does.
+    return met.where(F.col("pair") == F.get(F.array_intersect("pairs", "found"), F.lit(0))).select(*KEY, "text", "tid")
 
 
 def line_matches(text: Column, t: Column, threshold: float) -> Column:
@@ -213,7 +224,7 @@ def windows(text: Column, t: Column, threshold: float) -> Column:
 
         return let(F.filter(F.transform(g, lambda b, i: F.when(F.array_contains(t["known"], b), i)), lambda i: i.isNotNull()), starts)
 
-    return let(neighbours(split_words(text)), search)
+    return let(let(split_words(text), neighbours), search)
 
 
 def apart(found: Column) -> Column:
@@ -242,8 +253,7 @@ def merged(lines: Column, found: Column) -> Column:
 def compared(docs: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
     """(__doc_id, __th1, __th2, lines, found) of the texts (see ``keyed``) in which a line or a window matches."""
     known = staged(prepared(templates, threshold), "templates")
-    wanted = renamed(candidates(docs, known))
-    rows = docs.join(wanted, same_row(docs, wanted)).join(known, "tid")
+    rows = candidates(docs, known).join(F.broadcast(known), "tid")
     t = F.struct("license", "n", "known", "least", "low", "high")
     none = lambda c: c.cast("array<struct<line:int,dice:double,license:string,at:int,to:int>>")
     lines = F.when(F.col("by_line"), none(let(t, lambda x: line_matches(F.col("text"), x, threshold)))).otherwise(none(F.array()))

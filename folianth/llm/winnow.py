@@ -3,10 +3,11 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Every window of
 ``WINDOW`` words holds WINDOW - GRAM + 1 grams of ``GRAM`` words; winnowing keeps the smallest gram
 hash of each window. Equal windows keep equal hashes, so a shared span of WINDOW words or more is
-never missed. Neighbouring windows of a document that keep the same hash are one fingerprint, a row of its own,
-and fingerprints of documents and benchmark meet in a join; Spark broadcasts the benchmark's where their table
-is small, and deals both out otherwise. Runs that match are read as windows again and compared as text, and
-neighbouring windows extend a hit word by word.
+never missed. Neighbouring windows of a document that keep the same hash are one fingerprint, a row of its own with
+the words that it spans, and fingerprints of documents and benchmark meet in a join. The benchmark's are broadcast up
+to a number of them (``BROADCAST``), so that texts are read once and never dealt out; beyond it both sides are dealt out by
+fingerprint. Runs that match are read as windows again and compared as text, and neighbouring windows extend a hit word by
+word.
 
 Windows that many items share are named once: a window carries the name of its set of items, a document the
 sets of its windows, and only distinct combinations of sets are spelt out as items. So a passage of boilerplate in all items
@@ -30,6 +31,8 @@ from .staging import staged
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 GRAM = 5
+#: Fingerprints of the benchmark (8 bytes each, some 50 in memory) that are broadcast, at most.
+BROADCAST = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -69,16 +72,17 @@ def item_windows(items: DataFrame, window: int, gram: int) -> DataFrame:
     return base.select("item_id", F.explode(F.when(F.size("w") >= window, full).otherwise(short)).alias("x")).select("item_id", "x.*").distinct()
 
 
-def runs(h: Column, n: int, window: int, gram: int) -> Column:
-    """array<struct<n, kept, at, to>>: the windows of n words that begin at words ``at`` to ``to`` all keep the hash ``kept``."""
-    entry = lambda kept, at, to: F.struct(F.lit(n).alias("n"), kept.alias("kept"), at.alias("at"), to.alias("to"))
+def runs(w: Column, h: Column, n: int, window: int, gram: int) -> Column:
+    """array<struct<n, kept, at, to, span>>: the windows of n words that begin at words ``at`` to ``to`` all keep the hash ``kept``; ``span`` is all their words."""
+    span = lambda at, to: F.array_join(F.slice(w, at + 1, to - at + n), " ")
+    entry = lambda kept, at, to: F.struct(F.lit(n).alias("n"), kept.alias("kept"), at.alias("at"), to.alias("to"), span(at, to).alias("span"))
     if n < window:
         return F.transform(grams(h, n), lambda x, i: entry(x, i, i))
     least = let(grams(h, gram), lambda g: F.transform(_starts(h, window), lambda i: fingerprint(g, i, window - gram + 1)))
 
     def parted(kept: Column) -> Column:
         first = F.filter(F.transform(kept, lambda x, i: F.when((i == 0) | (x != F.get(kept, i - 1)), i)), lambda i: i.isNotNull())
-        return let(first, lambda f: F.transform(f, lambda at, k: entry(F.get(kept, at), at, F.coalesce(F.get(f, k + 1), F.size(kept)) - 1)))
+        return let(first, lambda f: F.transform(f, lambda at, k: let(F.coalesce(F.get(f, k + 1), F.size(kept)) - 1, lambda to: entry(F.get(kept, at), at, to))))
 
     return let(least, parted)
 
@@ -92,29 +96,24 @@ def item_sets(wins: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, wins.where(known).join(one, "win").select("item_set", "item_id")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, th1, th2 of each row of ``docs``."""
     wins = staged(item_windows(items, window, gram), "item-windows")
-    prints = staged(wins.select("n", "kept").distinct(), "fingerprints")
-    lengths = sorted(r[0] for r in prints.select("n").distinct().collect())  # 1 to window
+    prints = staged(wins.select("kept").distinct(), "fingerprints").withColumn("met", F.lit(True))
+    prints = F.broadcast(prints) if prints.count() <= broadcast else prints
+    lengths = sorted(r[0] for r in wins.select("n").distinct().collect())  # 1 to window
     key = ["doc_id", "th1", "th2"]
     row = [F.col("doc_id"), F.xxhash64("text").alias("th1"), F.xxhash64(F.lit(1), F.col("text")).alias("th2")]
     # Each row also has an entry of no window, so that rows without a match stay; its hash spreads it.
-    nothing = F.array(F.struct(F.lit(0).alias("n"), F.xxhash64("text").alias("kept"), F.lit(-1).alias("at"), F.lit(-1).alias("to")))
-    found = lambda w: F.struct(F.size(w).alias("n_words"), let(word_hashes(w), lambda h: F.concat(nothing, *(runs(h, n, window, gram) for n in lengths))).alias("runs"))
+    nothing = F.array(F.struct(F.lit(0).alias("n"), F.xxhash64("text").alias("kept"), F.lit(-1).alias("at"), F.lit(-1).alias("to"), F.lit(None).cast("string").alias("span")))
+    found = lambda w: F.struct(F.size(w).alias("n_words"), let(word_hashes(w), lambda h: F.concat(nothing, *(runs(w, h, n, window, gram) for n in lengths))).alias("runs"))
     spread = docs.select(*row, let(words(F.col("text")), found).alias("d")).select(*key, "d.n_words", F.explode("d.runs").alias("r")).select(*key, "n_words", "r.*")
-    met = spread.join(prints.withColumn("met", F.lit(True)), ["n", "kept"], "left").where(F.col("met") | (F.col("n") == 0))
-    of_row = met.groupBy(*key).agg(
-        F.first("n_words").alias("n_words"), F.count_if(F.col("n") == 0).alias("rows"), F.collect_set(F.when(F.col("met"), F.struct("n", "at", "to"))).alias("runs")
-    )
-    of_row = staged(of_row, "runs-of-rows")
+    met = spread.join(prints, "kept", "left").where(F.col("met") | (F.col("n") == 0))
+    met = staged(met.select(*key, "n_words", "n", "at", "to", "span"), "met")
+    of_row = met.where("n = 0").groupBy(*key).agg(F.first("n_words").alias("n_words"), F.count("*").alias("rows"))
 
-    # A table of its own, whose size Spark knows: while it is small the texts aren't dealt out for it.
-    suspects = staged(of_row.where(F.size("runs") > 0).select(*(F.col(c).alias(f"__{c}") for c in key), "runs"), "suspects")
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("th1") == F.col("__th1")) & (F.col("th2") == F.col("__th2"))
-    texts = docs.select(*row, "text").join(suspects, same).select(*key, "text", "runs")
-    read = lambda w: F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["at"], r["to"]), lambda i: F.struct(i.alias("pos"), r["n"].alias("n"), F.array_join(F.slice(w, i + 1, r["n"]), " ").alias("win")))))
-    windows = texts.select(*key, F.explode(let(words(F.col("text")), read)).alias("x")).select(*key, "x.*")
+    read = lambda w: F.transform(F.sequence(F.col("at"), F.col("to")), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i - F.col("at") + 1, F.col("n")), " ").alias("win")))
+    windows = met.where("n > 0").select(*key, "n", F.explode(let(F.split("span", " "), read)).alias("x")).select(*key, "n", "x.*")
     named, members = item_sets(wins)
     hits = windows.join(named, "win").groupBy(*key).agg(F.collect_set(F.struct("pos", "n")).alias("places"), F.array_sort(F.collect_set("item_set")).alias("sets"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["pos"], p["pos"] + p["n"] - 1)))))
@@ -124,6 +123,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     spelt = spelt.groupBy("sets").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("ids"))
     spelt = staged(spelt.select("sets", "n_items", F.sha2(F.col("ids").cast("binary"), 256).alias("items_sha256")), "combinations")
     hits = hits.join(spelt, "sets", "left").select(*(F.col(c).alias(f"__{c}") for c in key), "n_hit", "n_items", "items_sha256")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("th1") == F.col("__th1")) & (F.col("th2") == F.col("__th2"))
     out = of_row.join(hits, same, "left").select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),

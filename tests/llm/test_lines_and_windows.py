@@ -1,6 +1,7 @@
 """Line dedup and decontamination against plain versions, on awkward rows and on the driver's tables."""
 
 import hashlib
+import random
 import textwrap
 import time
 from collections import Counter, defaultdict
@@ -77,15 +78,11 @@ def plain_windows(data, items):
     return Counter(out)
 
 
-@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+@pytest.mark.parametrize("broadcast", [winnow.BROADCAST, 0])
 def test_decontamination(spark, broadcast):
-    """With the benchmark's side broadcast by Spark, and with both sides dealt out."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
-    try:
-        items = spark.createDataFrame(ITEMS, "item_id long, text string")
-        assert Counter(map(tuple, winnow.report(documents(spark), items).collect())) == plain_windows(rows(), ITEMS)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    """With the benchmark's side broadcast, and with both sides dealt out."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert Counter(map(tuple, winnow.report(documents(spark), items, broadcast=broadcast).collect())) == plain_windows(rows(), ITEMS)
 
 
 def test_boilerplate_of_all_items(spark):
@@ -101,13 +98,15 @@ def test_runs_are_winnowed_windows(spark):
     """Runs cover every window once, and each window keeps the smallest hash of its grams."""
     texts = ["a b c d e f g h i j k l m n o p q r s t u v", LONG, "a a a a a a a a a a a a a", "one two", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    w = winnow.word_hashes(winnow.words(F.col("t")))
-    got = df.select("t", winnow.runs(w, 10, 10, 5).alias("runs"), winnow.grams(w, 5).alias("g")).collect()
+    w = winnow.words(F.col("t"))
+    h = winnow.word_hashes(w)
+    got = df.select("t", winnow.runs(w, h, 10, 10, 5).alias("runs"), winnow.grams(h, 5).alias("g")).collect()
     for r in got:
         kept = [min(r.g[i : i + 6]) for i in range(len(words(r.t)) - 9)]
         assert [x.kept for x in r.runs for _ in range(x["at"], x["to"] + 1)] == kept
         assert [i for x in r.runs for i in range(x["at"], x["to"] + 1)] == list(range(len(kept)))
         assert all(a.kept != b.kept for a, b in zip(r.runs, r.runs[1:]))
+        assert [x.span.split(" ") for x in r.runs] == [words(r.t)[x["at"] : x["to"] + 10] for x in r.runs]
 
 
 def splits(df):
@@ -194,6 +193,19 @@ def test_licence_bounds_lose_nothing(spark):
         assert [(m.dice, m.license) for m in got[i]] == ([best] if best[0] >= 0.8 else [])
 
 
+def test_hundreds_of_templates_and_texts_of_any_kind(spark):
+    """Six hundred made licences are found, each where it stands, and nothing else; awkward texts give what they give without an index."""
+    rng = random.Random(4)
+    made = [(f"L{i}", " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(2, 120)))) for i in range(600)]
+    templates = spark.createDataFrame([(n, t, i % 2 == 0) for i, (n, t) in enumerate(made)], "license string, text string, by_line boolean")
+    texts = [textwrap.fill("Some words before. " + t + " And some after, of other kinds.", 60) for _, t in made[::20]] + ["w1 w2 w3", "", None, made[0][1] * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.report(df, templates).collect()}
+    long_enough = [i for i, (_, t) in enumerate(made[::20]) if len(t.split()) > 30]
+    assert all(got[i] == made[20 * i][0] for i in long_enough) and len(long_enough) > 15
+    assert got[31] == got[32] == "" and license_scan.report(documents(spark), templates).count() == len(rows())
+
+
 def test_licences_wrapped_whole_and_within_lines(spark):
     known = license_scan.NOTICES
     whole = {n: max((t for m, t in known if m == n), key=len) for n, _ in known}
