@@ -16,6 +16,7 @@ gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import gc
+import math
 import os
 import re
 import struct
@@ -37,10 +38,8 @@ CLOSING_ID = 2
 REMEMBERED = 250_000
 #: Bytes of text in which repeated chunks are looked up once.
 SLICE = 8 << 20
-#: Pieces of one length that are ranked together, about.
+#: Pieces of one length that are ranked together, about; of many there are as many groups as pieces in a group.
 RANKED = 1000
-#: Cut pieces up to this many are broadcast to find their documents.
-SMALL = 5000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -72,7 +71,8 @@ class Encoder:
     The tokenizer drops white space and no id spans it, so chunks between blanks are encoded apart. In a
     chunk of letters up to U+00FF and ASCII marks after them, it parts the letters from the marks and its
     normaliser only lower-cases, so there its model is asked directly, and words are remembered
-    without their marks. Every other chunk takes the tokenizer's whole way.
+    without their marks. Every other chunk takes the tokenizer's whole way. Whether the file at ``path`` is such a tokenizer is
+    tried on every letter and mark first; one that isn't encodes chunks, or else texts, in its whole way.
     """
 
     _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -84,9 +84,17 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         letters = [chr(x) for x in (*range(0xDF, 0xF7), *range(0xF8, 0x100))]
-        self._bytes = str.maketrans({x: self._tokenizer.pre_tokenizer.pre_tokenize_str(x)[0][0] for x in letters})
+        part = self._tokenizer.pre_tokenizer.pre_tokenize_str if self._tokenizer.pre_tokenizer else lambda x: []
+        self._bytes = str.maketrans({x: part(x)[0][0] if part(x) else x for x in letters})
         self._words = _Remembered(self._word, REMEMBERED)
         self._odd = _Remembered(self._whole, REMEMBERED)
+        letters = "abcdefghijklmnopqrstuvwxyz" + "".join(letters)
+        marks = [chr(x) for x in range(33, 127) if self._plain.fullmatch("a" + chr(x)) and not chr(x).isalpha()]
+        probes = [w for x in letters for w in (x, x.upper()[:1], f"a{x}", f"{x.upper()[:1]}{x}e", f"{x}nding")] + [f"word{m}" for m in marks] + ["Hello,", "don't", "x2", "e.g.)", "(see", "№5", "日本", "wide…"]
+        self._apart = all(self._whole(blank.join(probes)) == b"".join(map(self._whole, probes)) for blank in (" ", "\n", "  "))
+        if not (self._apart and all(x == self._whole(p) for p, x in zip(probes, self.chunks(probes)))):
+            self._plain = re.compile(r"(?!)()()")
+            self._words, self._odd = _Remembered(self._word, REMEMBERED), _Remembered(self._whole, REMEMBERED)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -110,6 +118,9 @@ class Encoder:
 
     def batch(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of bytes end to end, and where each row's begin. Equal chunks of the rows are encoded once."""
+        if not self._apart:
+            rows = [self._whole(data[i:j].tobytes().decode()) for i, j in zip(at[:-1], at[1:])]
+            return np.frombuffer(b"".join(rows), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows])])
         data = np.insert(data, at[1:], 10)  # every chunk ends with its blank
         at = at + np.arange(len(at))
         ends = np.flatnonzero((data == 32) | (data == 10)) + 1
@@ -128,7 +139,7 @@ class Encoder:
         return flat[np.arange(up_to[-1]) + np.repeat(first[code] - up_to[:-1], n)], row
 
     def ids(self, text: str) -> bytes:
-        return b"".join(self.chunks(text.replace("\n", " ").split(" ")))
+        return b"".join(self.chunks(text.replace("\n", " ").split(" "))) if self._apart else self._whole(text)
 
 
 def tokenizer_path() -> str:
@@ -154,21 +165,23 @@ def pieces(docs: DataFrame, path: str, sequence: int, quantum: int) -> DataFrame
     def work(batches):
         encoder = Encoder.of(path)
         gc.disable()  # the remembered words are many, and no cycles are made
-        for batch in batches:
-            source, rows = [], []
-            data, at = K.string_bytes(batch.column(2))
-            for i, j in K.slices(at, SLICE):
-                found, row = encoder.batch(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                raw = memoryview(found.astype("<u4", copy=False)).cast("B")
-                for k in range(i, j):
-                    ids = bytes(raw[4 * row[k - i] : 4 * row[k - i + 1]]) + _CLOSE
-                    for start, length in cuts(len(ids) // 4, sequence, quantum):
-                        source.append(k)
-                        rows.append((start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4))
-            columns = zip(*rows) if rows else [()] * 4
-            take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "th", "start", "length", "ids_crc32", "doc_tokens"])
-        gc.enable()
+        try:
+            for batch in batches:
+                source, rows = [], []
+                data, at = K.string_bytes(batch.column(2))
+                for i, j in K.slices(at, SLICE):
+                    found, row = encoder.batch(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                    raw = memoryview(found.astype("<u4", copy=False)).cast("B")
+                    for k in range(i, j):
+                        ids = bytes(raw[4 * row[k - i] : 4 * row[k - i + 1]]) + _CLOSE
+                        for start, length in cuts(len(ids) // 4, sequence, quantum):
+                            source.append(k)
+                            rows.append((start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4))
+                columns = zip(*rows) if rows else [()] * 4
+                take = pa.array(source, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "th", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            gc.enable()
 
     picked = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     return picked.mapInArrow(work, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, th long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -304,9 +317,12 @@ class Layout:
 
 
 def ranked(cut: DataFrame) -> DataFrame:
-    """Adds ``rank``, from 0 within each length: ranks within salted groups, plus the sizes of the groups before."""
+    """Adds ``rank``, from 0 within each length: ranks within salted groups, plus the sizes of the groups before.
+
+    Neither a group nor the list of a length's groups has more rows than RANKED or the root of the length's pieces, about.
+    """
     largest = cut.groupBy("length").count().agg(F.max("count")).first()[0] or 1
-    salts = -(-largest // RANKED)
+    salts = -(-largest // max(RANKED, math.isqrt(largest)))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "th"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").count()
     before = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
@@ -314,7 +330,7 @@ def ranked(cut: DataFrame) -> DataFrame:
     return salted.withColumn("__n", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("__n") - 1).drop("__n", "before", "salt")
 
 
-def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, quantum: int = QUANTUM, small: int = SMALL) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, quantum: int = QUANTUM) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or tokenizer_path()
     docs = docs.select("doc_id", "text")
@@ -337,9 +353,9 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, qua
     kind = cut.schema["doc_id"].dataType.simpleString()
     placed = staged(ranked(cut).select(*names, "rank").mapInArrow(place, f"doc_id {kind}, th long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"), "placed")
     broken = placed.where(F.col("ids_crc32").isNull()).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "length")).alias("parts"))
-    few = broken.limit(small + 1).count() <= small
-    broken = broken.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__th")
-    joined = docs.join(F.broadcast(broken) if few else broken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")))
+    # A table, whose size Spark knows when it chooses the join; there are fewer cut pieces than sequences.
+    broken = staged(broken.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__th"), "cut-documents")
+    joined = docs.join(broken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")))
 
     def again(batches):
         encoder = Encoder.of(path)

@@ -1,7 +1,9 @@
 """TIFF columns: walk image directories, decode strips and tiles, undo predictors, a row per page.
 
 A page that can't be decoded gives a row with its ``page`` and an ``error``, and the walk goes on; a damaged
-chain of directories ends it with such a row. Samples of 1, 2 and 4 bits become a byte each.
+chain of directories ends it with such a row. Samples of 1, 2 and 4 bits become a byte each. What a page decodes
+to is bounded by what its strips and tiles can hold (``EXPANSION``) and by its own size, so a small file that claims a huge page is
+an error and no huge array; texts of any length make pages of that length. Bytes beyond a page's samples are not decoded.
 Nulls and empty or damaged files give one row with ``page`` 0, null measures and an ``error``;
 repeated rows give repeated pages; other columns of the input pass through only if named in ``keep``.
 """
@@ -34,10 +36,14 @@ ROW = 64
 STRIP_ROWS = 1024
 
 
-def unpack_bits(data: bytes) -> bytes:
-    """PackBits runs: 0..127 copies n + 1 bytes, -1..-127 repeats one byte 1 - n times, -128 is skipped."""
+#: Bytes that a byte of each compression can stand for, at most.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2600, DEFLATE: 1100, OLD_DEFLATE: 1100}
+
+
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """PackBits runs: 0..127 copies n + 1 bytes, -1..-127 repeats one byte 1 - n times, -128 is skipped; ends after ``most`` bytes."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and (most is None or len(out) < most):
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -67,8 +73,8 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits, high bit first, widened one code early."""
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, high bit first, widened one code early; ends after ``most`` bytes."""
     out = bytearray()
     table: list[bytes] = []
     width, held, bits, last = 9, 0, 0, b""
@@ -98,6 +104,8 @@ def lzw_decode(data: bytes) -> bytes:
             width = min(12, max(9, (len(table) + 1).bit_length()))
         out += entry
         last = entry
+        if most is not None and len(out) >= most:
+            break
     return bytes(out)
 
 
@@ -140,7 +148,18 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-_decode = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, most: int = 0) -> bytes:
+    """Deflate with its checksum, ``most`` bytes of it."""
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, most)
+    if most and len(out) < most or not most:
+        out += stream.flush()
+        if not stream.eof:
+            raise ValueError("incomplete deflate data")
+    return out
+
+
+_decode = {NONE: lambda data, most: bytes(data[:most]), LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 _encode = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}
 
 
@@ -223,14 +242,19 @@ def read_page(data: bytes, order: str, tags: dict[int, list[int]]) -> np.ndarray
     across, down = -(-width // w), -(-length // h)
     if len(starts) < across * down * planes or len(starts) != len(counts):
         raise ValueError("strips or tiles are missing")
+    held = sum(min(c, max(0, len(data) - at)) for at, c in zip(starts, counts)) * EXPANSION[one(COMPRESSION, NONE)]
+    if -(-width * samples * depth // 8) * length > held:
+        raise ValueError("strips or tiles are too short for the size of the page")
     out = np.zeros((length, width, samples), kind.newbyteorder("="))
     for k in range(across * down * planes):
         plane, (y, x) = k // (across * down), divmod(k % (across * down), across)
         high = h if TILE_OFFSETS in tags else min(h, length - y * h)
         raw = data[starts[k] : starts[k] + counts[k]]
-        raw = decode(raw.translate(flip) if flip else raw)
-        need = high * w * deep
-        if len(raw) < high * -(-w * deep * depth // 8):
+        need, stored = high * w * deep, high * -(-w * deep * depth // 8)
+        if stored > len(raw) * EXPANSION[one(COMPRESSION, NONE)]:
+            raise ValueError("a strip or tile is too short")
+        raw = decode(raw.translate(flip) if flip else raw, stored)
+        if len(raw) < stored:
             raise ValueError("a strip or tile is too short")
         if depth < 8:
             block = unpack_samples(raw, high, w, deep, depth)

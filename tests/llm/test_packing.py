@@ -66,7 +66,7 @@ def test_packing(spark, size, quantum):
 
 def test_cut_pieces_by_join(spark):
     data = [(i, f"{LONG} " * (i % 7 + 1)) for i in range(60)]
-    got = packing.pack(spark.createDataFrame(data, "doc_id long, text string"), sequence=128, quantum=16, small=0).collect()
+    got = packing.pack(spark.createDataFrame(data, "doc_id long, text string"), sequence=128, quantum=16).collect()
     assert check(got, data, 128) == 0
 
 
@@ -91,3 +91,34 @@ def test_knapsack_equals_search():
     value, pattern = packing.knapsack(lengths, worth, 20)
     best = max(a * 0.31 + b * 0.4 + c * 0.75 for a in range(7) for b in range(6) for c in range(3) if 3 * a + 4 * b + 7 * c <= 20)
     assert np.isclose(value, best) and np.isclose(pattern @ worth, best) and pattern @ lengths <= 20
+
+
+def test_other_tokenizers_take_their_whole_way(tmp_path):
+    """One that doesn't lower-case and splits on marks, and one that keeps blanks in its ids."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    texts = ["Hello, World hello", "a b  a\nb", "", "world!"]
+    vocabulary = {x: i for i, x in enumerate(["[UNK]", "Hello", "hello", ",", "World", "world", "a", "b", "!"])}
+    parting = Tokenizer(models.WordLevel(vocabulary, unk_token="[UNK]"))
+    parting.pre_tokenizer = pre_tokenizers.Whitespace()
+    keeping = Tokenizer(models.WordLevel({**vocabulary, " ": 9, "a b": 10}, unk_token="[UNK]"))
+    for k, t in enumerate((parting, keeping)):
+        path = str(tmp_path / f"{k}.json")
+        t.save(path)
+        e = packing.Encoder(path)
+        for x in texts:
+            want = np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if x else b""
+            assert e.ids(x) == want
+        data = [x.encode() for x in texts]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+        found, row = e.batch(np.frombuffer(b"".join(data), np.uint8), at)
+        assert [found[i:j].astype("<u4").tobytes() for i, j in zip(row[:-1], row[1:])] == [e.ids(x) for x in texts]
+
+
+def test_ranks_of_many_pieces(spark, monkeypatch):
+    """Ranks count each length from 0 without gaps, whatever the groups."""
+    monkeypatch.setattr(packing, "RANKED", 10)
+    df = spark.range(3000).selectExpr("id AS doc_id", "0L AS start", "id AS th", "id % 3 AS length")
+    got = packing.ranked(df).collect()
+    for length in range(3):
+        assert sorted(r["rank"] for r in got if r.length == length) == list(range(1000))

@@ -1,6 +1,7 @@
 """HTML main text and TIFF round trips."""
 
 import hashlib
+import struct
 import time
 import zlib
 from html.parser import HTMLParser
@@ -210,6 +211,74 @@ def test_texts_survive(spark):
     assert len(TEXTS) and tiff.tiff_pages(tiff.text_media(empty(spark))).count() == 0
 
 
+def packed(codes, widths):
+    bits = "".join(f"{c:0{w}b}" for c, w in zip(codes, widths))
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def plain_lzw(data):
+    """Codes read from a string of bits, their texts from a list."""
+    bits, at, out, table, last = "".join(f"{x:08b}" for x in data), 0, b"", [], None
+    while True:
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+        code, at = int(bits[at : at + width], 2), at + width
+        if code == 257:
+            return out
+        if code == 256:
+            table, last = [bytes((x,)) for x in range(256)] + [None, None], None
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last is not None:
+            table.append(last + entry[:1])
+        last = entry
+
+
+def test_decoders_on_bytes_of_others():
+    """The published examples of both compressions, and an LZW decoder of another build."""
+    stored = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    want = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22" + "AA" * 10)
+    assert tiff.unpack_bits(stored) == want and tiff.unpack_bits(stored, 5)[:5] == want[:5]
+    assert tiff.lzw_decode(packed([256, 7, 258, 8, 8, 258, 6, 6, 257], [9] * 9)) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    rng = np.random.default_rng(1)
+    for data in (bytes(rng.integers(0, 4, 30_000, dtype=np.uint8)), b"ab" * 9000, bytes(rng.integers(0, 256, 20_000, dtype=np.uint8))):
+        assert plain_lzw(tiff.lzw_encode(data)) == data == tiff.lzw_decode(tiff.lzw_encode(data))
+
+
+@pytest.mark.parametrize("compression, pack", [(1, bytes), (8, zlib.compress), (32946, zlib.compress), (32773, lambda b: b"".join(bytes((0, x)) for x in b))])
+def test_a_big_endian_file_written_by_hand(compression, pack):
+    """Two pages of two strips each, 16 bits, with predictor 2 in the second."""
+    pages = np.random.default_rng(2).integers(0, 1 << 16, (2, 5, 4), dtype=np.uint16)
+    out, link = bytearray(b"MM\0*\0\0\0\0"), 4
+    for k, page in enumerate(pages):
+        rows = np.concatenate([page[:, :1], np.diff(page, axis=1)], axis=1) if k else page
+        strips = [pack(rows[y : y + 3].astype(">u2").tobytes()) for y in (0, 3)]
+        starts = [len(out), len(out) + len(strips[0])]
+        out += b"".join(strips)
+        out += b"\0" * (len(out) % 2)
+        lists = len(out)
+        out += struct.pack(">IIHH", *starts, *map(len, strips))
+        out[link : link + 4] = struct.pack(">I", len(out))
+        short = lambda tag, v: struct.pack(">HHIHH", tag, 3, 1, v, 0)
+        tags = [short(256, 4), short(257, 5), short(258, 16), short(259, compression), struct.pack(">HHII", 273, 4, 2, lists), short(277, 1), short(278, 3), struct.pack(">HHIHH", 279, 3, 2, *map(len, strips)), short(317, 1 + k)]
+        out += struct.pack(">H", len(tags)) + b"".join(tags)
+        link = len(out)
+        out += b"\0\0\0\0"
+    got = [p for _, p in tiff.read_pages(bytes(out))]
+    assert len(got) == 2 and all((a[:, :, 0] == b).all() for a, b in zip(got, pages))
+
+
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_claims_of_huge_pages_are_errors(compression):
+    data = with_tags(tiff.write_tiff([np.zeros((4, 5), np.uint8)], compression), 0, {tiff.WIDTH: 1 << 30, tiff.LENGTH: 1 << 20})
+    with pytest.raises(ValueError):
+        list(tiff.read_pages(data))
+    bomb = zlib.compress(b"\0" * 50_000_000)
+    assert len(tiff.inflate(bomb, 1000)) == 1000 and len(tiff.lzw_decode(tiff.lzw_encode(b"a" * 100_000), 10)) < 5000
+    wide = np.zeros((3000, 3000), np.uint8)  # compresses as far as it can
+    assert (next(iter(tiff.read_pages(tiff.write_tiff([wide], compression, strip_rows=3000))))[1][:, :, 0] == wide).all()
+
+
 def with_tags(data, page, values):
     """A file of ``write_tiff`` with values of tags of one page replaced."""
     out, at = bytearray(data), int.from_bytes(data[4:8], "little")
