@@ -4,24 +4,30 @@
 arguments matters. Pairs reach it through blocks that no true pair misses, as its branches are:
 
 * equal sound and as many words: block by the sounds;
-* initials: as many words and a surname of equal sound: block by count and the surname's sound;
-* typos: as many words, each at least 0.75 alike, so the letters of both names overlap by 0.75 in
-  Dice's measure: prefix filter over letters, rarest first;
+* initials: as many words, a surname of equal sound, and elsewhere equal words or initials of one sound: block by the
+  sound of the surname and the first sounds of the rest;
+* typos: as many words, each at least 0.75 alike and 0.85 on average, so one word of each is 0.85 alike. Words
+  of x and y letters that are r alike share r (x + y) / 2 letters, whatever their order: each word gives the sets of
+  so many of its letters, for each length that the other may have (``word_blocks``);
 * the same three over the words without (middle) initials.
+
+Pairs from typo blocks must also share enough letters of all words, which Spark tests before Python sees them.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folianth.functions import columns as C
-from folianth.functions.text import best_spelling, initial, name, same_person, skeleton
+from folianth.functions.text import best_spelling, initial, name, same_person, skeleton, sound
 from folianth.sources.staging import staged
 
 from .components import components
@@ -32,41 +38,89 @@ def same_person_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x is not None and y is not None and same_person(x, y) for x, y in zip(a, b)])
 
 
-#: Letters from rare to frequent, so that few names share the first of a name's.
+#: Letters from rare to frequent, so that few words share the first of a word's.
 _RARE = {c: i for i, c in enumerate("qxwyzfvhpgbcudjkmltsnroeia")}
+#: How alike the closest words of two names are, at least, and any two words of them.
+CLOSEST, CLOSE = 0.85, 0.75
+#: Sets of letters that one word gives for one length of the other, at most; longer words give pairs of rare letters.
+LETTER_SETS = 64
+
+
+@lru_cache(1 << 12)
+def _partner_lengths(n: int) -> tuple[tuple[int, int, bool], ...]:
+    """(length of the other word, letters that both share, whether sets of so many letters are few) for a word of n letters."""
+    out = []
+    for m in range(1, 2 * n + 2):
+        shared = math.ceil(CLOSEST * (n + m) / 2 - 1e-9)
+        if shared <= min(n, m):
+            out.append((m, shared, max(math.comb(n, shared), math.comb(m, shared)) <= LETTER_SETS))
+    return tuple(out)
+
+
+@lru_cache(1 << 16)
+def word_blocks(word: str) -> frozenset[str]:
+    """Blocks of which two words at least CLOSEST alike share one.
+
+    They share ``shared`` letters, so a set of so many letters; or where these are many, any two of the rarest
+    letters of either beyond those that need not be shared (of a prefix of n - shared + 2, both hold two of the common ones).
+    """
+    letters, n = sorted(word, key=_RARE.__getitem__), len(word)
+    out = set()
+    for m, shared, few in _partner_lengths(n):
+        lengths = f"{min(n, m)} {max(n, m)}"
+        if few:
+            out.update(f"{lengths} {''.join(c)}" for c in combinations(letters, shared))
+        else:
+            out.update(f"{lengths} {''.join(c)}" for c in combinations(letters[: n - shared + 2], 2))
+    return frozenset(out)
 
 
-def _blocks(raw: str) -> list[str]:
+def name_blocks(raw: str) -> dict[str, tuple[int, ...]]:
+    """Block by block the letters that a pair from it must share enough of (numbered, so that a repeated letter counts again); none for blocks of sounds."""
     n = name(raw)
     t = n.tokens
     ends = tuple(w for i, w in enumerate(t) if not initial(w) or i in (0, len(t) - 1))
-    out = set()
+    out: dict[str, tuple[int, ...]] = {}
     for form in {t, ends, n.full}:
         if not form:
             continue
         size = len(form)
-        out.add(f"sound {size} {' '.join(sorted(map(skeleton, form)))}")
-        out.add(f"last {size} {skeleton(form[-1])}")
-        letters = Counter("".join(form))
-        bag = sorted(((_RARE[c], c, k) for c, m in letters.items() for k in range(m)))
-        # Overlap of at least 0.375 (|a| + |b|) and |b| >= 0.6 |a| leave 0.6 |a| common letters.
-        keep = len(bag) - math.ceil(0.6 * len(bag) - 1e-9) + 1
-        out.update(f"letter {size} {c}{k}" for _, c, k in bag[:keep])
-    return sorted(out)
+        out[f"sound {size} {' '.join(sorted(map(skeleton, form)))}"] = ()
+        out[f"initials {size} {skeleton(form[-1])} {' '.join(map(sound, form[:-1]))}"] = ()
+        letters = tuple(sorted(64 * _RARE[c] + k for c, m in Counter("".join(form)).items() for k in range(min(m, 64))))
+        for word in form:
+            out.update((f"typos {size} {block}", letters) for block in word_blocks(word))
+    return out
+
+
+_block_type = T.ArrayType(T.StructType([T.StructField("block", T.StringType()), T.StructField("letters", T.ArrayType(T.IntegerType()))]))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(_block_type)
 def blocks_udf(a: pd.Series) -> pd.Series:
-    return a.map(lambda x: [] if x is None else _blocks(x))
+    return a.map(lambda x: [] if x is None else [{"block": k, "letters": list(v)} for k, v in sorted(name_blocks(x).items())])
+
+
+def in_blocks(names: DataFrame, spelling: str, side: str) -> DataFrame:
+    """All columns, a row for each block of ``spelling``: block, and ``side`` with its letters."""
+    return names.withColumn("__b", F.explode(blocks_udf(spelling))).select(*names.columns, "__b.block", F.col("__b.letters").alias(side))
+
+
+def may_match(left: str, right: str) -> Column:
+    """Whether names met in a block of sounds, or share so many letters as names whose words are all CLOSE must."""
+    return (F.size(left) == 0) | (F.size(F.array_intersect(left, right)) >= CLOSE / 2 * (F.size(left) + F.size(right)) - 1e-9)
+
+
+def candidate_pairs(names: DataFrame, spelling: str = "name") -> DataFrame:
+    """(a, b) of distinct spellings, a before b, that share a block."""
+    distinct = names.select(F.col(spelling).alias("n")).where(F.col("n").isNotNull()).distinct()
+    left, right = in_blocks(distinct.withColumnRenamed("n", "a"), "a", "la"), in_blocks(distinct.withColumnRenamed("n", "b"), "b", "lb")
+    return left.join(right, "block").where((F.col("a") < F.col("b")) & may_match("la", "lb")).select("a", "b").distinct()
 
 
 def same_person_pairs(names: DataFrame, spelling: str = "name") -> DataFrame:
     """(a, b) of distinct spellings, a before b, where same_person holds in either direction."""
-    distinct = names.select(F.col(spelling).alias("n")).where(F.col("n").isNotNull()).distinct()
-    keyed = distinct.select("n", F.explode(blocks_udf("n")).alias("block"))
-    left, right = keyed.withColumnRenamed("n", "a"), keyed.withColumnRenamed("n", "b")
-    pairs = left.join(right, "block").where("a < b").select("a", "b").distinct()
-    return pairs.where(same_person_udf("a", "b") | same_person_udf("b", "a"))
+    return candidate_pairs(names, spelling).where(same_person_udf("a", "b") | same_person_udf("b", "a"))
 
 
 def spellings_by_key(names: DataFrame) -> DataFrame:
@@ -133,9 +187,9 @@ def fix_order(df: DataFrame, spelling: str, given: DataFrame, prior: DataFrame,
 def override_names(names: DataFrame, rules: DataFrame, spelling: str = "name") -> DataFrame:
     """(name, to): the first rule whose spelling each distinct name matches. Rules: rule_pos, from, to."""
     wanted = names.select(F.col(spelling).alias("name")).where(F.col("name").isNotNull()).distinct()
-    left = wanted.withColumn("block", F.explode(blocks_udf("name")))
-    right = rules.select("rule_pos", F.col("from").alias("rule"), "to").withColumn("block", F.explode(blocks_udf("rule")))
-    hits = left.join(right, "block").select("name", "rule_pos", "rule", "to").distinct().where(same_person_udf("name", "rule"))
+    left = in_blocks(wanted, "name", "ln")
+    right = in_blocks(rules.select("rule_pos", F.col("from").alias("rule"), "to"), "rule", "lr")
+    hits = left.join(right, "block").where(may_match("ln", "lr")).select("name", "rule_pos", "rule", "to").distinct().where(same_person_udf("name", "rule"))
     return hits.groupBy("name").agg(F.min_by("to", "rule_pos").alias("to"))
 
 
@@ -145,33 +199,3 @@ def override_files(df: DataFrame, path: Column, rules: list[tuple[str, str]], ou
     for fragment, to in reversed(rules):
         found = F.when(F.contains(path, F.lit(fragment)), F.lit(to)).otherwise(found)
     return df.withColumn(out, found)
-
-
-def best_display(names: DataFrame, group: str) -> DataFrame:
-    """(group, display): argmax over (count, length, spelling) where no spelling needs weighing against its originals."""
-    counted = names.groupBy(group, "name").count()
-    return counted.groupBy(group).agg(F.max_by("name", F.struct("count", F.length("name"), "name")).alias("display"))
-
-
-def rank_clusters(votes: DataFrame, book: str, cluster: str, score: str) -> DataFrame:
-    """Winner and runner-up of each book: ranks by falling score, ties by cluster."""
-    w = Window.partitionBy(book).orderBy(F.desc(score), cluster)
-    return votes.withColumn("rank", F.row_number().over(w)).withColumn("runner", F.coalesce(F.lead(score).over(w), F.lit(0))).where("rank = 1").drop("rank")
-
-
-def like_title_pairs(df: DataFrame, row_id: str, group: str, title: str, least: float = 0.6) -> DataFrame:
-    """(a, b), a before b, of rows of one group whose titles have ``least`` of their words in common (Jaccard).
-
-    Words are taken once per row. Such a pair shares ceil(least n) of either's n words, so it shares one of
-    the n - ceil(least n) + 1 rarest: only rows that do are compared.
-    """
-    words = staged(df.select(F.col(row_id).alias("id"), F.col(group).alias("g"), F.array_distinct(C.tokens(title)).alias("w")).where(F.size("w") > 0), "title-words")
-    one = words.select("id", "g", F.explode("w").alias("t"))
-    rare = one.join(one.groupBy("t").agg(F.count("*").alias("n")), "t")
-    need = lambda size: F.ceil(least * size - 1e-9).cast("int")
-    ordered = rare.groupBy("id", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("w"))
-    keyed = ordered.select("id", "g", "w", F.explode(F.slice("w", F.lit(1), F.size("w") - need(F.size("w")) + 1)).alias("t"))
-    left, right = keyed.toDF("a", "g", "wa", "t"), keyed.toDF("b", "g", "wb", "t")
-    both = left.join(right, ["g", "t"]).where("a < b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    return both.where(common >= least * (F.size("wa") + F.size("wb") - common) - 1e-9).select("a", "b").distinct()

@@ -161,16 +161,9 @@ def is_anthology(path, title, authors, snippet):
     return C.latin(C.stem(path)).rlike(words) | C.latin(F.coalesce(title, F.lit(""))).rlike(words) | tags | (F.size(listed) >= 3)
 
 
-def source_votes(votes: DataFrame, book: str, cluster: str, source: str, weights: dict[str, int] | None = None) -> DataFrame:
-    """book, cluster, score: weights of the distinct sources that speak for a cluster."""
-    table = fixed.WEIGHTS if weights is None else weights
-    weight = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return votes.select(book, cluster, source).distinct().groupBy(book, cluster).agg(F.sum(F.coalesce(weight[F.col(source)], F.lit(0))).alias("score"))
-
-
-def confidence(win, runner, most: int = fixed.MAX_SCORE):
-    """Half from the weight, half from the lead, 1 at most; two places, halves to even."""
-    return F.bround(F.least(F.lit(1.0), 0.5 * win / most + 0.5 * (win - runner) / win), 2)
+def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
+    """status, n: how many rows of a plan or a log have each status."""
+    return rows.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
 
 
 def accuracy(scored: DataFrame, right: str, sure: str) -> DataFrame:

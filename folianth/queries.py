@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folianth.functions import columns as C
-from folianth.functions import fixed
+from folianth.functions import evidence, fixed, text
 from folianth.operators import genres as G
 from folianth.operators import matching as M
 from folianth.operators import titles, voting as V
 from folianth.plans import actions, scan
-from folianth.sources import tables
+from folianth.sources import staging, tables
 from folianth.sources.files import TEXT_CHARS
 
 QUERIES, SQL = {}, {}
+STRINGS = T.ArrayType(T.StringType())
 
 
 def query(sql: str | None = None):
@@ -101,8 +106,9 @@ def text_fold(spark, sf_dir):
 
 @query(r"""SELECT doc_id, regexp_extract_all(text, '(?:[A-ZČĆŠŽĐ][.]|[A-ZČĆŠŽĐ][a-zčćšžđäöüéèáíóúñ''’-]+)(?:[ \t\n\r\f\v]+(?:(?:[A-ZČĆŠŽĐ][.]|[A-ZČĆŠŽĐ][a-zčćšžđäöüéèáíóúñ''’-]+)|de|la|van|von|der|le|di|da|du)){1,3}') AS runs FROM documents""")
 def name_runs(spark, sf_dir):
-    pattern = rf"{fixed.NAME_WORD}(?:\s+(?:{fixed.NAME_WORD}|{fixed.PARTICLES})){{1,3}}"
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("runs"))
+    """The runs that the imprint reader looks for, over whole texts."""
+    runs = F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else evidence.name_runs(t)), STRINGS)
+    return table(spark, sf_dir, "documents").select("doc_id", runs("text").alias("runs"))
 
 
 def _flipped(spark, sf_dir) -> DataFrame:
@@ -132,31 +138,65 @@ def folder_vote(spark, sf_dir):
 @query(r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(strip_accents(replace(replace(text, 'đ', 'dj'), 'Đ', 'Dj'))), '[a-z]+')) AS key FROM documents)
     SELECT key, count(*) AS n FROM t GROUP BY key HAVING count(*) >= 3""")
 def library_prior(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.explode(F.array_distinct(C.tokens("text"))).alias("key"))
-    return words.groupBy("key").agg(F.count("*").alias("n")).where("n >= 3")
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.explode(F.array_distinct(C.tokens("text"))).alias("name"))
+    return V.library_prior(words).where("n >= 3")
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {KEY.format('p_name')} AS k, {TOKENS.format('p_name')}[1] AS g, p_brand FROM part), n AS (SELECT k, count(DISTINCT p_brand) AS n FROM p GROUP BY k),
+    g AS (SELECT g FROM p GROUP BY g HAVING count(*) % 2 = 0)
+    SELECT p_partkey, CASE WHEN n >= 3 THEN [k] ELSE [] END AS known_keys, CASE WHEN g.g IS NULL THEN [] ELSE [p.g] END AS known_given
+    FROM p JOIN n USING (k) LEFT JOIN g ON g.g = p.g""")
+def known_names(spark, sf_dir):
+    """What the names of a record find in the priors of the library."""
+    part = table(spark, sf_dir, "part")
+    prior = V.library_prior(part.select(F.col("p_brand").alias("path"), F.col("p_name").alias("name")))
+    given = part.groupBy(C.first_name("p_name").alias("given")).count().where("count % 2 = 0").select("given")
+    one = F.array(F.struct(F.lit("tags").alias("source"), F.col("p_name").alias("name")))
+    records = part.select(F.col("p_partkey").cast("string").alias("path"), one.alias("candidates"), F.array().cast("array<array<string>>").alias("groups"))
+    return V.with_priors(records, prior, given).select(F.col("path").cast("long").alias("p_partkey"), "known_keys", "known_given")
 
 
-EVENT_WEIGHTS = {"click": 3, "view": 2, "purchase": 4, "signup": 1, "error": 2}
-_case = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in EVENT_WEIGHTS.items()) + " ELSE 0 END"
+#: Sources by kind of event, and people whom nothing confuses, by cluster.
+EVENT_SOURCES = {"click": "tags", "view": "folder", "purchase": "impressum", "signup": "pdftags", "error": "swappedtags"}
+PEOPLE = [
+    "Bobo Uzelac", "Vuk Mimica", "Ranko Gagula", "Zvonko Petrlic", "Hugo Danda", "Lana Sopot", "Fedor Krznar", "Ines Vilhar", "Dado Humski", "Tea Zubak",
+    "Pero Klobas", "Goca Runjic", "Nada Fistric", "Stipe Ovca", "Jure Galof", "Mia Trpkov", "Kosta Dmitar", "Uros Hladni", "Ema Budak", "Rade Skopljak",
+]
+_case = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {fixed.WEIGHTS[v]}" for k, v in EVENT_SOURCES.items()) + " ELSE 0 END"
 
 
 @query(f"""WITH v AS (SELECT DISTINCT user_id, CAST(json_extract(props, '$.k') AS INT) % 20 AS cluster, event_type FROM events),
     s AS (SELECT user_id, cluster, sum({_case})::BIGINT AS score FROM v GROUP BY ALL HAVING sum({_case}) > 0),
     r AS (SELECT *, row_number() OVER w AS rank, coalesce(lead(score) OVER w, 0) AS runner FROM s WINDOW w AS (PARTITION BY user_id ORDER BY score DESC, cluster))
-    SELECT user_id, cluster, score, runner, round_even(least(1.0, (0.5 * score / 20 + 0.5 * (score - runner) / score)::DECIMAL(18, 12)), 2)::DOUBLE AS confidence FROM r WHERE rank = 1""")
+    SELECT user_id, cluster, score, runner, printf('%.2f', least(1.0, score::DOUBLE / 20 / 2 + (score - runner)::DOUBLE / score / 2))::DOUBLE AS confidence FROM r WHERE rank = 1""")
 def vote_confidence(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("user_id", "event_type", (F.from_json("props", "k int")["k"] % 20).alias("cluster"))
-    votes = V.source_votes(events, "user_id", "cluster", "event_type", EVENT_WEIGHTS).where("score > 0")
-    won = M.rank_clusters(votes, "user_id", "cluster", "score")
-    sure = V.confidence(F.col("score").cast("decimal(18,6)"), F.col("runner").cast("decimal(18,6)")).cast("double")
-    return won.select("user_id", "cluster", "score", "runner", sure.alias("confidence"))
-
-
-@query("""WITH c AS (SELECT split_part(p_name, ' ', 2) AS noun, p_name, count(*) AS n FROM part GROUP BY ALL)
-    SELECT noun, arg_max(p_name, struct_pack(a := n, b := length(p_name), c := p_name)) AS display FROM c GROUP BY noun""")
+    """The vote itself: events are sources that speak for people; clusters, weights, ranks and confidence are the scan's."""
+    sources, people = (F.create_map(*[F.lit(x) for kv in of for x in kv]) for of in (EVENT_SOURCES.items(), enumerate(PEOPLE)))
+    votes = table(spark, sf_dir, "events").select("user_id", (F.from_json("props", "k int")["k"] % 20).alias("cluster"), F.try_element_at(sources, F.col("event_type")).alias("source"))
+    votes = votes.where("cluster is not null and source is not null").select("user_id", F.struct("cluster", "source", F.try_element_at(people, F.col("cluster")).alias("name")).alias("v"))
+    records = votes.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_set("v")), lambda v: F.struct(v["source"].alias("source"), v["name"].alias("name"))).alias("candidates"))
+    none = F.array().cast("array<string>")
+    records = records.select("user_id", "candidates", F.lit(None).cast("string").alias("snippet"), F.lit("").alias("title_used"), F.array().cast("array<array<string>>").alias("groups"), none.alias("known_keys"), none.alias("known_given"))
+    d = F.col("decision")
+    won = V.decide(records).select(
+        "user_id", (F.array_position(F.array(*map(F.lit, PEOPLE)), d["author"]) - 1).cast("int").alias("cluster"), F.get(d["candidates"], F.lit(0))["score"].cast("long").alias("score"),
+        F.coalesce(F.get(d["candidates"], F.lit(1))["score"], F.lit(0)).cast("long").alias("runner"), d["confidence"].alias("confidence"),
+    )
+    return won
+
+
+FOREIGN = "len(regexp_extract_all(lower(p_name), '[wyqx]|[bcdfgkprt]h|hn|c[eiy]|ck|oo|ee|ou|ea|bb|cc|dd|ff|gg|kk|ll|mm|nn|pp|rr|ss|tt|zz'))"
+
+
+@query(f"""WITH c AS (SELECT split_part(p_name, ' ', 2) AS noun, p_name, {FOREIGN} AS f, count(*) AS n FROM part GROUP BY ALL),
+    m AS (SELECT *, max(f) OVER (PARTITION BY noun) AS most FROM c)
+    SELECT noun, p_name AS display FROM m WHERE f = most QUALIFY row_number() OVER (PARTITION BY noun ORDER BY n DESC, length(p_name) DESC, p_name) = 1""")
 def pick_display(spark, sf_dir):
+    """The spelling that stands for a person, chosen among all spellings of a group as the scan chooses."""
     names = table(spark, sf_dir, "part").select(F.element_at(F.split("p_name", " "), -1).alias("noun"), F.col("p_name").alias("name"))
-    return M.best_display(names, "noun")
+    counted = names.groupBy("noun", "name").agg(F.count("*").alias("n")).groupBy("noun").agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias("counts"))
+    best = F.pandas_udf(lambda groups: groups.map(lambda g: text.best_spelling({x["name"]: int(x["n"]) for x in g})), T.StringType())
+    return counted.select("noun", best("counts").alias("display"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -203,15 +243,15 @@ def series_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.series_key("p_brand", stem)["series"].alias("series")).where("series is not null")
 
 
-_p = "lower(p_name || ' ' || p_type || ' ' || p_brand)"
-
-
-@query(f"""WITH t AS (SELECT p_partkey, p_brand, list_distinct(regexp_extract_all({_p}, '[a-z]+')) AS w FROM part)
-    SELECT a.p_partkey AS a, b.p_partkey AS b FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
-    WHERE len(list_intersect(a.w, b.w)) * 10 >= 6 * len(list_distinct(list_concat(a.w, b.w)))""")
+@query(f"""WITH t AS (SELECT p_partkey, list_distinct({TOKENS.format("p_name || ' ' || p_type")}) AS a, list_distinct({TOKENS.format("p_type || ' ' || p_brand || ' ' || p_name")}) AS b, p_size % 5 AS k FROM part)
+    SELECT p_partkey, k > 0 AND len(list_intersect(a, b)) * 10 >= 6 * len(list_distinct(list_concat(a, b))) AS whole,
+        len(list_intersect(a[1:2], b)) * 10 >= 6 * len(list_distinct(list_concat(a[1:2], b))) AS short FROM t""")
 def title_like(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
-    return M.like_title_pairs(part, "p_partkey", "p_brand", "t")
+    """Whether a candidate is the title itself, as the vote asks; titles with a spaced dash tell nothing."""
+    like = F.pandas_udf(lambda names, titles: pd.Series([text.like_title(n, t) for n, t in zip(names, titles)]), T.BooleanType())
+    plain = F.concat_ws(" ", "p_type", "p_brand", "p_name")
+    title = F.when(F.col("p_size") % 5 == 0, F.concat_ws(" - ", "p_type", "p_brand", "p_name")).otherwise(plain)
+    return table(spark, sf_dir, "part").select("p_partkey", like(F.concat_ws(" ", "p_name", "p_type"), title).alias("whole"), like("p_name", plain).alias("short"))
 
 
 RULES = [(0, "small", "S"), (1, "ring", "R"), (2, "large", "L")]
@@ -241,14 +281,17 @@ def accuracy(spark, sf_dir):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def log_json(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k")).where("k is not null")
+    """Entries appended to a log of JSON lines and read again by their schema."""
+    path = f"{staging.shared_dir(spark)}/events-{uuid.uuid4().hex}.log"
+    entries = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    tables.append_log(entries, path, 0, ["event_id"])
+    return tables.read_log(spark, path, "event_id bigint, k int, seq bigint").where("k is not null").select("event_id", "k")
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(trim(regexp_replace(line, '[<>:"/\\|?*\x00-\x1f]', '', 'g'), ' .'), '[ \t\n\r\f\v]+', ' ', 'g')) AS safe
-    FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) WHERE trim(regexp_replace(line, '[<>:"/\\|?*\x00-\x1f]', '', 'g'), ' .') <> ''""")
+@query(r"""SELECT doc_id, trim(regexp_replace(trim(regexp_replace(text, '[<>:"/\\|?*\x00-\x1f]', '', 'g'), ' .'), '[ \t\n\r\f\v]+', ' ', 'g')) AS safe
+    FROM documents WHERE trim(regexp_replace(text, '[<>:"/\\|?*\x00-\x1f]', '', 'g'), ' .') <> ''""")
 def safe_names(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-    return lines.select("doc_id", F.trim(C.safe_name("line")).alias("safe")).where("safe <> 'Unknown'")
+    return table(spark, sf_dir, "documents").select("doc_id", F.trim(C.safe_name("text")).alias("safe")).where("safe <> 'Unknown'")
 
 
 @query("SELECT s_suppkey, '/lib/' || s_nationkey || '/' || s_name || '.epub' AS original, '/out/_Originals/' || s_nationkey || '/' || s_name || '.epub' AS parked FROM supplier")
@@ -278,7 +321,7 @@ def undo_order(spark, sf_dir):
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
 def status_counts(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return V.status_counts(table(spark, sf_dir, "orders"), "o_orderstatus")
 
 
 @query()
@@ -382,8 +425,11 @@ def merge_chain(spark, sf_dir):
 
 @query("""SELECT l_orderkey AS original, min_by(l_partkey, struct_pack(a := l_linenumber, b := l_partkey)) AS parked FROM lineitem GROUP BY l_orderkey""")
 def first_parked(spark, sf_dir):
+    """What removing a placed copy restores: where its original was put first."""
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.col("l_orderkey").alias("original")).agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("parked"))
+    original, none = F.col("l_orderkey").cast("string"), F.lit(None).cast("string")
+    log = lines.select(original.alias("original"), F.concat(F.lit("/out/"), original).alias("dest"), F.col("l_partkey").cast("string").alias("parked"), F.struct("l_linenumber", "l_partkey").alias("seq"), F.lit(False).alias("merge"), none.alias("from"))
+    return actions.unplace(log, log.select("dest").distinct()).select(F.col("original").cast("long").alias("original"), F.col("parked").cast("long").alias("parked"))
 
 
 @query("""WITH b AS (SELECT o_orderkey AS book, o_custkey AS author, o_orderpriority AS copy, o_orderstatus AS g FROM orders),
@@ -416,12 +462,17 @@ def settled_users(spark, sf_dir):
     return users.select("user_id", F.struct("sources", "confidence").alias("decision")).select("user_id", V.settled().alias("settled"))
 
 
-@query("""WITH d AS (SELECT '/lib/' || n_regionkey || '/' || n_name AS path FROM nation), f AS (SELECT DISTINCT '/lib/' || n_regionkey || '/' || n_name AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 = 0)
+@query("""WITH d AS (SELECT '/lib/' || r_name || '/' || n_name AS path FROM region, nation), f AS (SELECT DISTINCT '/lib/' || r_name || '/' || n_name AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey)
     SELECT path, 4 AS depth FROM d WHERE path NOT IN (SELECT path FROM f)""")
 def empty_folders(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation").withColumn("path", F.concat_ws("/", F.lit("/lib"), F.col("n_regionkey").cast("string"), F.col("n_name")))
-    files = table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", "path", "s_name").alias("path"))
-    return actions.empty_folders(nation.select("path"), files)
+    """A folder for each pair of a region and a nation; the suppliers are files of their own nation and region."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    path = F.concat_ws("/", F.lit("/lib"), "r_name", "n_name")
+    regions = F.broadcast(region.agg(F.collect_list("r_name").alias("names")).withColumn("__one", F.lit(1)))  # five names
+    folders = nation.withColumn("__one", F.lit(1)).join(regions, "__one").select("n_name", F.explode("names").alias("r_name")).select(path.alias("path"))
+    home = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    files = table(spark, sf_dir, "supplier").join(home, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat_ws("/", path, "s_name").alias("path"))
+    return actions.empty_folders(folders, files)
 
 
 @query("""WITH b AS (SELECT '/out/' || p_brand || '/' || p_brand || ' - ' || p_partkey || '.epub' AS path, p_brand, p_partkey FROM part)
@@ -437,12 +488,13 @@ def rename_plan(spark, sf_dir):
     return actions.renames(listing, F.regexp_extract("path", r"([^/]*)\.epub$", 1))
 
 
-@query(f"""WITH w AS (SELECT p_partkey, {TOKENS.format('p_name')} AS n, {TOKENS.format('text')} AS t FROM part JOIN documents ON doc_id = p_partkey),
+@query(f"""WITH w AS (SELECT p_partkey, {TOKENS.format('p_name')} AS n, {TOKENS.format("coalesce(text, '')")} AS t FROM part LEFT JOIN documents ON doc_id = p_partkey),
     h AS (SELECT p_partkey, len(n) AS k, list_transform(n, lambda x: len(list_filter(t, lambda y: starts_with(y, x) AND length(y) - length(x) <= 3)) > 0) AS f FROM w)
     SELECT p_partkey, f[-1] AND len(list_filter(f[1:k - 1], lambda x: x)) > 0 AS found FROM h""")
 def name_in_text(spark, sf_dir):
-    both = table(spark, sf_dir, "part").join(table(spark, sf_dir, "documents"), F.col("doc_id") == F.col("p_partkey"))
-    return both.select("p_partkey", C.occurs("p_name", C.fold("text")).alias("found"))
+    """A part without a document has no text that could hold its name."""
+    both = table(spark, sf_dir, "part").join(table(spark, sf_dir, "documents"), F.col("doc_id") == F.col("p_partkey"), "left")
+    return both.select("p_partkey", C.occurs("p_name", C.fold(F.coalesce("text", F.lit("")))).alias("found"))
 
 
 @query("""SELECT doc_id, regexp_matches(lower(text), '\\b(antologij\\w*|zbornik\\w*|almanah\\w*|best of|the best)\\b') AS many FROM documents""")

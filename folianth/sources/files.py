@@ -1,8 +1,8 @@
 """Files as tables: formats by content, archive members, and the leading text of books.
 
 ``read_files`` brings whole files (binaryFile); everything else is a column or an Arrow function over ``content``.
-Formats that need outside programs (pdf, doc, rtf; rar and 7z archives) give a null text and an ``error``; their text
-may be joined in as a table.
+Formats that need outside programs (pdf, doc, rtf; rar and 7z archives) are read by those that are installed (``outside``);
+else they give a null text and an ``error``, and their text may be joined in as a table.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from folianth.functions import columns as C
 from folianth.functions import fixed
+from folianth.sources import outside
 
 TEXT_CHARS = 5000
 #: Spine documents of an epub, and text records of a mobi, that the leading text is taken from.
@@ -217,7 +218,7 @@ def _leading(fmt: str | None, data: bytes, n: int) -> tuple[str | None, str | No
         return epub_text(data, n), None
     if fmt == "mobi":
         text = strip_html(mobi_text(data))
-        return (text[:n], None) if len(text) > 200 else (None, "mobi text is short; a converter is needed")
+        return (text[:n], None) if len(text) > 200 else outside.text(fmt, data, n)
     if fmt == "txt":
         return plain_text(data, n), None
     if fmt == "html":
@@ -228,7 +229,7 @@ def _leading(fmt: str | None, data: bytes, n: int) -> tuple[str | None, str | No
             return (" ".join(re.sub(r"<[^>]+>", "", re.sub(r"</w:p>", " ", z.read("word/document.xml").decode("utf-8", "ignore"))).split())[:n], None) if z else (None, "damaged docx")
         except (KeyError, zipfile.BadZipFile, zlib.error):
             return None, "damaged docx"
-    return None, f"{fmt} needs an outside reader"
+    return outside.text(fmt, data, n)
 
 
 _text_type = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
@@ -253,10 +254,10 @@ def leading_text(format: Column | str = "format", content: Column | str = "conte
 
 @F.pandas_udf(_tags_type)
 def embedded_tags(fmt: pd.Series, data: pd.Series) -> pd.DataFrame:
-    """struct(title, authors, tags) of epubs; nulls for other formats, whose tags may be joined in."""
+    """struct(title, authors, tags) of epubs, and of other formats where the metadata program is installed."""
     def one(f, d):
         try:
-            return epub_tags(bytes(d)) if f == "epub" and d is not None else (None, None, None)
+            return (None, None, None) if d is None else epub_tags(bytes(d)) if f == "epub" else outside.tags(f, bytes(d))
         except (zipfile.BadZipFile, KeyError, OSError, RuntimeError, zlib.error):
             return None, None, None
 
@@ -267,8 +268,11 @@ _member = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.Str
 
 
 @F.pandas_udf(_member)
-def zip_members(data: pd.Series) -> pd.Series:
-    def one(d):
+def archive_members(fmt: pd.Series, data: pd.Series) -> pd.Series:
+    """Files of zip archives by path, and of others where an unpacker is installed; damaged ones have none."""
+    def one(f, d):
+        if f != "zip":
+            return [{"path": k, "content": v} for k, v in outside.members(f, bytes(d or b""))]
         z = None if d is None else _open(bytes(d))
         found = []
         for name in sorted(x for x in (z.namelist() if z else []) if not x.endswith("/")):
@@ -278,7 +282,7 @@ def zip_members(data: pd.Series) -> pd.Series:
                 continue
         return found
 
-    return data.map(one)
+    return pd.Series([one(f, d) for f, d in zip(fmt, data)], dtype=object)
 
 
 def find_books(files: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -288,7 +292,7 @@ def find_books(files: DataFrame, limit: int | None = None) -> tuple[DataFrame, D
     """
     known = files.withColumn("format", detect())
     plain = known.where(F.col("format").isin(*fixed.BOOK_FORMATS)).select("path", F.lit(None).cast("string").alias("archive"), "format", "content")
-    inner = known.where("format = 'zip'").select(F.col("path").alias("archive"), F.explode(zip_members("content")).alias("m"))
+    inner = known.where(F.col("format").isin(*fixed.ARCHIVE_FORMATS)).select(F.col("path").alias("archive"), F.explode(archive_members("format", "content")).alias("m"))
     inner = inner.select(F.concat_ws("!/", "archive", "m.path").alias("path"), "archive", F.col("m.content").alias("content"))
     inner = inner.withColumn("format", detect()).where(F.col("format").isin(*fixed.BOOK_FORMATS)).select("path", "archive", "format", "content")
     books = plain.unionByName(inner)
@@ -313,18 +317,19 @@ def listing(files: DataFrame, root: str) -> DataFrame:
 LEAST_TEXT = 200
 
 
-@F.pandas_udf(T.StringType())
-def epub_problem(data: pd.Series) -> pd.Series:
+def problem_of(data: bytes | None) -> str | None:
     """What is wrong with a converted epub, or null: not a zip, a damaged member, or almost no text."""
-    def one(d):
-        z = None if d is None else _open(bytes(d))
-        if z is None:
-            return "not a valid zip"
-        try:
-            if z.testzip() is not None:
-                return "damaged"
-        except (zipfile.BadZipFile, zlib.error, RuntimeError, OSError):
+    z = None if data is None else _open(data)
+    if z is None:
+        return "not a valid zip"
+    try:
+        if z.testzip() is not None:
             return "damaged"
-        return None if len(epub_text(bytes(d), 2000).strip()) >= LEAST_TEXT else "almost no text"
+    except (zipfile.BadZipFile, zlib.error, RuntimeError, OSError):
+        return "damaged"
+    return None if len(epub_text(data, 2000).strip()) >= LEAST_TEXT else "almost no text"
+
 
-    return data.map(one)
+@F.pandas_udf(T.StringType())
+def epub_problem(data: pd.Series) -> pd.Series:
+    return data.map(lambda d: problem_of(None if d is None else bytes(d)))

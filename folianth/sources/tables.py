@@ -5,17 +5,18 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folianth.functions import columns as C
 from folianth.functions import fixed
+from folianth.sources import staging
 
 REPORT = "path string, archive string, author string, coauthors string, title string, confidence double, sources string, candidates string, status string"
 MOVES = "src string, original string, author string, format string, status string, dest string, error string, tag_error string, parked string, merge boolean, `from` string, unplaced string, seq bigint"
 GENRES = "book string, genres array<string>, old_tags string, error string, harmonized boolean, seq bigint"
 RENAMES = "renamed string, `to` string, title string, seq bigint"
-CACHE = "file_key string, field string, value string"
+CACHE = "file_key string, field string, value string, seq bigint"
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
@@ -66,14 +67,38 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_log_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    return read_log(spark, path, schema) if staging.exists(spark, path) else None
+
+
 def append_log(entries: DataFrame, path: str, batch: int, order: list[str]) -> None:
-    """Append entries with ``seq``: the batch number, then the place within the batch by ``order``."""
-    from pyspark.sql import Window
+    """Append entries with ``seq``: the batch number, then the place within the batch by ``order``.
+
+    Entries are sorted over all partitions; a partition's places go on where the one before it ends, so only the sizes of
+    partitions are added up in one task.
+    """
+    numbered = entries.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())
+    numbered = staging.staged(numbered.withColumn("__p", F.shiftright("__id", 33)).withColumn("__k", F.col("__id").bitwiseAND((1 << 33) - 1)), "log-entries")
+    sizes = numbered.groupBy("__p").agg(F.count("*").alias("n"))
+    before = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__before"))
+    seq = F.lit(batch).cast("long") * (1 << 40) + F.col("__before") + F.col("__k") + 1
+    numbered.join(F.broadcast(before), "__p").withColumn("seq", seq).drop("__p", "__k", "__id", "__before").write.mode("append").json(path)
+
+
+def next_batch(log: DataFrame | None) -> int:
+    """The batch number after all those of a log."""
+    last = log.agg(F.max("seq")).first()[0] if log is not None else None
+    return 0 if last is None else (last >> 40) + 1
+
 
-    spread = entries.withColumn("__p", F.spark_partition_id())
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    seq = F.lit(batch).cast("long") * (1 << 40) + F.col("__p").cast("long") * (1 << 24) + place
-    spread.withColumn("seq", seq).drop("__p").write.mode("append").json(path)
+def retire_log(spark: SparkSession, path: str) -> str:
+    """Put an undone log aside, so that it counts no more."""
+    base = path.rstrip("/").removesuffix(".log")
+    n, to = 1, f"{base}.undone.log"
+    while staging.exists(spark, to):
+        n, to = n + 1, f"{base}.undone{n}.log"
+    staging.rename(spark, path, to)
+    return to
 
 
 def placed_sources(log: DataFrame, existing: DataFrame) -> DataFrame:
@@ -83,10 +108,11 @@ def placed_sources(log: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def cached(files: DataFrame, cache: DataFrame, field: str) -> DataFrame:
-    """Adds the cached value of ``field`` (null if none) to files with a ``file_key``."""
-    return files.join(cache.where(F.col("field") == field).select("file_key", F.col("value").alias(field)), "file_key", "left")
+    """Adds the cached value of ``field`` (null if none) to files with a ``file_key``: the one remembered last."""
+    last = cache.where(F.col("field") == field).groupBy("file_key").agg(F.max_by("value", F.struct("seq", "value")).alias(field))
+    return files.join(last, "file_key", "left")
 
 
-def remember(values: DataFrame, path: str) -> None:
-    """Append (file_key, field, value) rows."""
-    values.select("file_key", "field", "value").write.mode("append").parquet(path)
+def remember(values: DataFrame, path: str, seq: int = 0) -> None:
+    """Append (file_key, field, value) rows; of several for one key and field those of the largest ``seq`` count."""
+    values.select("file_key", "field", "value", F.lit(seq).cast("long").alias("seq")).write.mode("append").parquet(path)

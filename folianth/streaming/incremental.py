@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folianth.functions import columns as C
-from folianth.functions import fixed
 from folianth.operators.voting import gather
 from folianth.sources import files
 
@@ -22,11 +21,15 @@ def new_files(spark: SparkSession, root: str, per_batch: int = 1000) -> DataFram
 
 
 def extract_new(spark: SparkSession, root: str, table: str, checkpoint: str, per_batch: int = 1000) -> StreamingQuery:
-    """Append the records (candidates and evidence) of files not seen before to a Parquet table, then stop."""
+    """Append the records (candidates and evidence) of files not seen before to a Parquet table, then stop.
+
+    Books in archives are among them; files that are skipped (path, format) go to ``table``_skipped.
+    """
     def batch(df: DataFrame, n: int) -> None:
-        books = files.extract(df.withColumn("format", files.detect()).where(F.col("format").isin(*fixed.BOOK_FORMATS)).withColumn("archive", F.lit(None).cast("string")))
+        books, skipped = files.find_books(df)
         # A batch that runs again after a failure overwrites its own folder: each file is there once.
-        gather(books).write.mode("overwrite").parquet(f"{table}/batch={n}")
+        gather(files.extract(books)).write.mode("overwrite").parquet(f"{table}/batch={n}")
+        skipped.write.mode("overwrite").parquet(f"{table}_skipped/batch={n}")
 
     return new_files(spark, root, per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,8 +2,10 @@
 
 import io
 import os
+import random
 import struct
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,62 @@ def test_blocks_lose_no_pair(spark):
     assert got == want
 
 
+SYLLABLES = ["a", "e", "i", "o", "u", "an", "er", "is", "on"]
+
+
+def made_names(n, seed):
+    """Random names, misspelt ones, and ones with initials."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(SYLLABLES) + rng.choice("bcdfgklmnprstvzhj") for _ in range(rng.randrange(1, 4))).capitalize()
+    out = set()
+    while len(out) < n:
+        base = " ".join(word() for _ in range(rng.choice([2, 2, 2, 3])))
+        out.add(base)
+        letters = list(base)
+        for _ in range(rng.randrange(1, 3)):
+            k, kind = rng.randrange(1, len(letters)), rng.randrange(4)
+            if kind == 0:
+                letters[k] = rng.choice("abcdefghijklmnoprstuvz")
+            elif kind == 1:
+                letters.insert(k, rng.choice("aeioulnrst"))
+            elif kind == 2 and len(letters) > 4:
+                del letters[k]
+            else:
+                letters[k], letters[k - 1] = letters[k - 1], letters[k]
+        out.add("".join(letters))
+        first, *_, last = base.split()
+        out |= {f"{first[0]}. {last}", f"{first} {rng.choice('ABC')}. {last}"} if rng.random() < 0.2 else set()
+    return sorted(out)[:n]
+
+
+def test_blocks_lose_no_pair_of_thousands():
+    """Every true pair of random and misspelt names shares a block and enough letters."""
+    names = made_names(1500, 5)
+    blocks = [M.name_blocks(n) for n in names]
+    found = 0
+    for i, a in enumerate(names):
+        for j in range(i):
+            if text.same_person(a, names[j]) or text.same_person(names[j], a):
+                found += 1
+                shared = blocks[i].keys() & blocks[j].keys()
+                pairs = [(blocks[i][k], blocks[j][k]) for k in shared]
+                assert any(not x or len(set(x) & set(y)) >= 0.375 * (len(x) + len(y)) - 1e-9 for x, y in pairs), (a, names[j])
+    assert found > 500
+
+
+def test_blocks_join_few_pairs():
+    """Of 16,000 names the blocks join less than a twentieth of all pairs, each pair counted for each block that it shares."""
+    names = made_names(16_000, 6)
+    size = Counter(k for n in names for k in M.name_blocks(n))
+    assert sum(n * (n - 1) // 2 for n in size.values()) < len(names) ** 2 / 2 / 20
+
+
+def test_pairs_of_made_names(spark):
+    names = made_names(400, 7)
+    got = {(r.a, r.b) for r in M.same_person_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {(a, b) for a in names for b in names if a < b and (text.same_person(a, b) or text.same_person(b, a))}
+
+
 def test_canonical_spellings_equal_one_greedy_pass(spark):
     mentions = [s for i, s in enumerate(SPELLINGS) for _ in range(1 + i % 3)]
     df = spark.createDataFrame(list(enumerate(mentions)), "place int, name string")
@@ -114,8 +172,6 @@ def test_canonical_spellings_equal_one_greedy_pass(spark):
         if home is None:
             people.append(home := [])
         home += groups[k]
-    from collections import Counter
-
     assert got == {s: text.best_spelling(Counter(p)) for p in people for s in p}
 
 
@@ -282,6 +338,91 @@ def test_logs_and_cache(spark, tmp_path):
     tables.remember(spark.createDataFrame([("k", "tags", "v")], "file_key string, field string, value string"), str(tmp_path / "cache"))
     got = tables.cached(spark.createDataFrame([("k",), ("m",)], "file_key string"), spark.read.parquet(str(tmp_path / "cache")), "tags")
     assert {r.file_key: r.tags for r in got.collect()} == {"k": "v", "m": None}
+    # What is remembered later counts, and a key stays one row.
+    tables.remember(spark.createDataFrame([("k", "tags", "a later one"), ("m", "tags", "w")], "file_key string, field string, value string"), str(tmp_path / "cache"), 1)
+    got = tables.cached(spark.createDataFrame([("k",), ("m",)], "file_key string"), spark.read.parquet(str(tmp_path / "cache")), "tags")
+    assert sorted(tuple(r) for r in got.collect()) == [("k", "a later one"), ("m", "w")]
+
+
+def test_log_order_goes_on_over_partitions(spark, tmp_path):
+    entries = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("n")).repartition(7)
+    tables.append_log(entries, str(tmp_path / "log"), 3, ["n"])
+    tables.append_log(entries.limit(10), str(tmp_path / "log"), tables.next_batch(tables.read_log(spark, str(tmp_path / "log"), "n long, seq long")), ["n"])
+    got = tables.read_log(spark, str(tmp_path / "log"), "n long, seq long").orderBy("seq").collect()
+    assert [r.n for r in got[:5000]] == list(range(5000)) and [r.seq for r in got[:5000]] == [(3 << 40) + 1 + i for i in range(5000)]
+    assert {r.seq >> 40 for r in got[5000:]} == {4}
+    kept = tables.retire_log(spark, str(tmp_path / "log"))
+    assert kept.endswith(".undone.log") and tables.read_log_if_any(spark, str(tmp_path / "log"), "n long") is None
+
+
+def fake_program(folder, name, script):
+    path = folder / name
+    path.write_text(f"#!/bin/sh\n{script}\n")
+    path.chmod(0o755)
+
+
+def test_outside_programs(tmp_path, monkeypatch):
+    from folianth.sources import outside
+
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    monkeypatch.setattr(outside.shutil, "which", lambda name: str(tmp_path / name) if (tmp_path / name).exists() else None)
+    assert outside.text("pdf", b"%PDF", 9) == (None, "pdf needs an outside reader") and outside.tags("pdf", b"") == (None, None, None) and outside.members("rar", b"") == []
+    fake_program(tmp_path, "pdftotext", 'echo "text of $3" | sed "s:/.*/::"')
+    fake_program(tmp_path, "ebook-convert", 'head -c 20 "$1" > "$2"')
+    fake_program(tmp_path, "ebook-meta", 'echo "Title : Grad"; echo "Author(s) : Ana Lee [Lee, Ana]"; echo "Tags : SF, War"')
+    fake_program(tmp_path, "unar", 'mkdir "$5/in"; echo b > "$5/in/b.txt"; echo a > "$5/a.txt"')
+    assert outside.text("pdf", b"%PDF", 16) == ("text of book.pdf", None)
+    assert outside.text("rtf", b"{\\rtf words", 9) == ("{\\rtf wor", None)
+    assert outside.tags("mobi", b"x") == ("Grad", "Ana Lee", "SF, War") and outside.tags("txt", b"x") == (None, None, None)
+    assert outside.members("7z", b"x") == [("a.txt", b"a\n"), ("in/b.txt", b"b\n")] and outside.members("zip", b"x") == []
+    fake_program(tmp_path, "pdftotext", "echo no >&2; exit 3")
+    assert outside.text("pdf", b"%PDF", 9) == (None, "pdftotext failed: no")
+
+
+def test_converting_mends_endings_and_checks_the_book(tmp_path, monkeypatch):
+    from folianth.plans import executors
+    from folianth.sources import outside
+
+    monkeypatch.setattr(outside.shutil, "which", lambda name: str(tmp_path / name) if (tmp_path / name).exists() else None)
+    (tmp_path / "book. mobi").write_bytes(b"x")
+    (tmp_path / "made").write_bytes(epub())
+    src, dest = str(tmp_path / "book. mobi"), str(tmp_path / "out" / "a.epub")
+    assert executors.convert(src, dest, "mobi") == "ebook-convert is not installed"
+    fake_program(tmp_path, "ebook-convert", f'case "$1" in *.mobi|*.docx) cp "{tmp_path}/made" "$2";; *) exit 1;; esac')
+    assert executors.convert(src, dest, "mobi") is None and os.path.exists(dest)
+    (tmp_path / "b.doc").write_bytes(b"x")
+    assert executors.convert(str(tmp_path / "b.doc"), dest, "doc") == "textutil is not installed"
+    fake_program(tmp_path, "textutil", 'cp "$5" "$4"')
+    assert executors.convert(str(tmp_path / "b.doc"), str(tmp_path / "out" / "b.epub"), "doc") is None
+    (tmp_path / "made").write_bytes(epub(body=""))
+    assert "almost no text" in executors.convert(src, dest, "mobi")
+    assert executors.tag_genres(dest, ["SF"]) == "ebook-meta is not installed"
+
+
+def test_genres_are_written(spark):
+    from folianth.plans import executors
+
+    plan = spark.createDataFrame([("/o/a.epub", ["SF"], "x"), ("/o/b.epub", [], "")], "book string, genres array<string>, old_tags string")
+    got = {r.book: (r.old_tags, r.error) for r in executors.write_genres(plan, write=lambda book, genres: f"{book} {genres}").collect()}
+    assert got == {"/o/a.epub": ("x", "/o/a.epub ['SF']"), "/o/b.epub": ("", "no genre")}
+
+
+def test_undoing_restores_and_removes(spark, tmp_path):
+    from folianth.plans import executors
+
+    at = lambda *x: str(tmp_path.joinpath(*x))
+    for x in (("out", "New", "New - A.epub"), ("out", "_Originals", "a.epub"), ("out", "C", "c.epub")):
+        os.makedirs(os.path.dirname(at(*x)), exist_ok=True)
+        tmp_path.joinpath(*x).write_bytes(b"x")
+    none = None
+    log = spark.createDataFrame([
+        (1, none, at("in", "a.epub"), at("out", "Old", "Old - A.epub"), none, none), (2, none, at("in", "a.epub"), none, at("out", "_Originals", "a.epub"), none),
+        (3, True, none, at("out", "New", "New - A.epub"), none, at("out", "Old", "Old - A.epub")), (4, none, at("in", "c.epub"), at("out", "C", "c.epub"), none, none),
+        (5, none, at("in", "d.epub"), at("out", "D", "d.epub"), none, none),
+    ], "seq long, merge boolean, original string, dest string, parked string, `from` string")
+    done = executors.undo(actions.undo(log), tag=lambda *a: None).collect()
+    assert {r.src: r.error for r in done}[at("out", "D", "d.epub")] == "it is gone" and sum(r.error is None for r in done) == 4
+    assert sorted(os.path.relpath(os.path.join(d, f), tmp_path) for d, _, fs in os.walk(tmp_path) for f in fs) == ["in/a.epub"]
 
 
 def test_stream_extracts_new_files_once(spark, tmp_path):
@@ -296,6 +437,27 @@ def test_stream_extracts_new_files_once(spark, tmp_path):
     run()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(os.path.basename(r.path) for r in got.select("path").collect()) == ["Ana%20Lee%20-%20One.epub", "Ana%20Lee%20-%20Two.txt"] or got.count() == 2
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("in/book.txt", "text of a book")
+    (tmp_path / "in" / "c.zip").write_bytes(inner.getvalue())
+    (tmp_path / "in" / "d.rar").write_bytes(b"Rar!x")
+    run()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 3 and got.where("archive is not null").count() == 1
+    assert [os.path.basename(r.path) for r in spark.read.parquet(str(tmp_path / "out_skipped")).collect()] == ["d.rar"]
+
+
+def test_stream_counts_names_in_event_time(spark, tmp_path):
+    from folianth.streaming.incremental import name_counts
+
+    rows = [("2024-01-01 00:10:00", "Ana Lee"), ("2024-01-01 00:20:00", "Lee Ana"), ("2024-01-01 01:10:00", "Ana Lee"), ("2024-01-01 00:30:00", "Ivo Andrić")]
+    spark.createDataFrame(rows, "t string, name string").select(F.to_timestamp("t").alias("ts"), "name").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, name string").parquet(str(tmp_path / "in"))
+    query = name_counts(stream).writeStream.format("memory").queryName("name_counts").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((r.key, r.window.start.hour, r.n) for r in spark.table("name_counts").collect())
+    assert got == [("ana lee", 0, 2), ("ana lee", 1, 1), ("andric ivo", 0, 1)]
 
 
 def test_accuracy_and_folder_vote(spark):
@@ -338,7 +500,7 @@ def test_executors_carry_out_plans(spark, tmp_path):
     src.write_bytes(b"x")
     out = str(tmp_path / "out")
     jobs = spark.createDataFrame([(str(src), str(src), "A B", None, "T", "epub"), (str(tmp_path / "no.epub"), "", "A B", None, "U", "epub"), (str(src) + "2", "", "A B", None, "V", "rtf")], "path string, original string, author string, coauthors array<string>, title string, format string")
-    done = {r.path: (r.status, r.error) for r in executors.place(actions.place(jobs, out), convert=lambda a, b: "no", tag=lambda *a: None).collect()}
+    done = {r.path: (r.status, r.error) for r in executors.place(actions.place(jobs, out), convert=lambda a, b, fmt: "no", tag=lambda *a: None).collect()}
     assert done[str(src)] == ("done", None) and os.path.exists(f"{out}/A B/A B - T.epub")
     assert done[str(tmp_path / "no.epub")][0] == "failed" and done[str(src) + "2"] == ("failed", "no")
     moved = executors.move(spark.createDataFrame([(str(src), f"{out}/_Originals/a.epub"), (str(src), f"{out}/A B/A B - T.epub")], "src string, `to` string")).collect()
@@ -359,3 +521,22 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "out").mkdir()
     assert cli.main(["apply", "--report", str(tmp_path / "r"), "--output", str(tmp_path / "out"), "--plan", str(tmp_path / "plan")]) == 0
     assert spark.read.parquet(str(tmp_path / "plan")).first().status == "done"
+
+
+def test_command_line_resumes_and_undoes(spark, tmp_path):
+    """A book without the right ending is placed by its content, parked, not placed again, and put back."""
+    from folianth import cli
+
+    lib, out, plan = tmp_path / "lib", tmp_path / "out", str(tmp_path / "plan")
+    lib.mkdir(), out.mkdir()
+    (lib / "Ana Lee - One.dat").write_bytes(epub("One", "Ana Lee"))
+    assert cli.main(["scan", "--library", str(lib), "--report", str(tmp_path / "r")]) == 0
+    apply = ["apply", "--report", str(tmp_path / "r"), "--output", str(out), "--plan", plan, "--library", str(lib)]
+    assert cli.main([*apply, "--execute"]) == 0
+    row = spark.read.parquet(plan).first()
+    assert (row.status, row.format) == ("done", "epub") and (out / "Ana Lee" / "Ana Lee - One.epub").exists()
+    assert not (lib / "Ana Lee - One.dat").exists() and (out / "_Originals" / "Ana Lee - One.dat").exists()
+    assert cli.main(apply) == 0 and spark.read.parquet(plan).count() == 0
+    assert cli.main(["undo", "--output", str(out), "--plan", plan, "--execute"]) == 0
+    assert (lib / "Ana Lee - One.dat").exists() and not (out / "Ana Lee" / "Ana Lee - One.epub").exists()
+    assert (out / "moves.undone.log").exists() and not (out / "moves.log").exists()

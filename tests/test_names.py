@@ -72,6 +72,116 @@ def test_titles():
     assert titling.without_author(titling.tidy("112881508-John-Grisham-Tvrtka"), ["John Grisham"]) == "Tvrtka"
 
 
+@pytest.mark.parametrize(
+    "path, tag, authors, want",
+    [
+        ("/b/13 - Trag - Colm Toibin.epub", None, ["Colm Toibin"], "Trag"),
+        ("/b/02 Odjek u tami - Nora Roberts.epub", None, ["Nora Roberts"], "Odjek u tami"),
+        ("/b/Nora Roberts - 02 Odjek u tami.epub", None, ["Nora Roberts"], "02 Odjek u tami"),
+        ("/b/2001 Odiseja - Nora Roberts.epub", None, ["Nora Roberts"], "2001 Odiseja"),
+        ("/b/Branislav Nusic - tikva.epub", "Pokondirena tikva", ["Branislav Nušić"], "Pokondirena tikva"),
+        ("/b/Meša Selimović - Tvrđava.epub", "Tvrdjava - imam", ["Meša Selimović"], "Tvrđava"),
+        ("/b/Ana Lee - One.epub", "Another book", ["Ana Lee"], "One"),
+        ("/b/Ana Lee.epub", "Tag title", ["Ana Lee"], "Tag title"),
+        ("/b/Ana Lee.epub", "Ana Lee", ["Ana Lee"], "Ana Lee"),
+        ("/b/Tina Fras i Ana Lee - Knjiga.epub", None, ["Ana Lee"], "Knjiga"),
+        ("/b/John-Grisham-Tvrtka.epub", None, ["John Grisham"], "Tvrtka"),
+        ("/b/Tvrtka-John-Grisham.epub", None, ["John Grisham"], "Tvrtka"),
+        ("/b/Nora Roberts-Hotel BoonsBoro-1.Sada.epub", None, ["Nora Roberts"], "Hotel BoonsBoro-1.Sada"),
+        ("/b/Knjiga 52str.epub", None, [], "Knjiga"),
+        ("/b/Knjiga - lat.epub", None, [], "Knjiga"),
+        ("/b/Knjiga (1).epub", "Microsoft Word - Knjiga.doc", [], "Knjiga"),
+    ],
+)
+def test_decided_titles(path, tag, authors, want):
+    assert titling.decide_title(path, None, tag, authors) == want
+
+
+def test_archives_name_titles_first():
+    assert titling.decide_title("/x.zip!/a.txt", "/b/Ana Lee - One.zip", None, ["Ana Lee"]) == "One"
+    assert titling.decide_title("/x.zip!/Ana Lee - Two.txt", "/b/Ana Lee.zip", None, ["Ana Lee"]) in ("Two", "Ana Lee")
+
+
+@pytest.mark.parametrize(
+    "name, want",
+    [
+        ("Samanta-Jang-Jamajska-staza", ["Samanta Jang", "Samanta Jang Jamajska", "Jamajska staza", "Jang Jamajska staza"]),
+        ("Ana Lee - Marko Kos", ["Ana Lee", "Marko Kos"]), ("Ana Lee-Solaris", ["Ana Lee"]), ("Ana Lee. Solaris", ["Ana Lee"]), ("Solaris, Ana Lee", ["Ana Lee"]),
+        ("Kathryn Passig&Aleks Scholz - Rat i mir", ["Kathryn Passig", "Aleks Scholz"]), ("Anne O_Brien - Kraljica (2004) [lat]", ["Anne O'Brien"]),
+        ("Lee, Ana - Ana Lee - Grad 2", ["Ana Lee"]), ("2001", []), ("Knjiga", []),
+    ],
+)
+def test_names_in_file_names(name, want):
+    assert evidence.in_filename(f"/b/{name}.epub") == want
+
+
+def test_names_in_folders_tags_and_imprints():
+    assert evidence.in_folder("/b/Ana Lee/x.epub") == ["Ana Lee"] and evidence.in_folder("/b/Romani 2/x.epub") == []
+    assert evidence.in_tags("Ana Lee & Marko Kos", None) == ["Ana Lee", "Marko Kos"]
+    assert evidence.in_tags("Rat Velikih", "Rat velikih") == [] and evidence.in_tags("Unknown", "x") == []
+    assert evidence.together("/b/Ana Lee i Marko Kos - X.epub", "Rob Jones;Ann Lee") == [["Ana Lee", "Marko Kos"], ["Rob Jones", "Ann Lee"]]
+    assert evidence.in_imprint("Copyright © 1999 Walter M. Miller. All rights") == ["Walter M. Miller"]
+    assert evidence.in_imprint("Naslov originala: " + "x" * 105 + " Alice Munrov") == []  # cut within the last word
+    assert evidence.in_imprint(None) == [] == evidence.in_imprint("Alice Munro")
+
+
+def test_swapped_tags():
+    swapped = evidence.swapped_names
+    assert swapped("A. J. Molloy", ["A. J. Molloy", "Ana Lee"], [], []) == ["A. J. Molloy"]
+    assert swapped("Ana Lee", ["Ana Lee", "Kosi Toranj"], ["Kosi Toranj"], []) == ["Ana Lee"]  # a known given name vouches
+    assert swapped("Xava Lee", ["Xava Lee", "Kosi Toranj"], ["Kosi Toranj"], []) == []
+    assert swapped("Xava Lee", ["Xava Lee", "Kosi Toranj"], ["Kosi Toranj"], ["Xava Lee"]) == ["Xava Lee"]
+    assert swapped("Ana Lee", ["Ana Lee", "Kosi Toranj"], ["Somebody Else"], []) == [] == swapped("Ana Lee", ["Ana Lee"], [], [])
+
+
+def test_whole_file_name_that_is_the_title_is_no_name():
+    found = evidence.gather("/b/Zasto Niste.epub", None, "epub", "Zasto Niste", "Ana Lee", "")
+    assert found["candidates"] == [("tags", "Ana Lee")]
+    pdf = evidence.gather("/b/Ana Lee - Grad Mira.pdf", None, "pdf", "Microsoft Word - x", "Ana Lee", "")
+    assert pdf["title"] == "" and ("pdftags", "Ana Lee") in pdf["candidates"]
+
+
+def test_votes_equal_a_plain_count():
+    """Scores, rank and confidence against sums over sources, for names that nothing confuses."""
+    import random
+
+    from folianth.functions import fixed
+    from folianth.queries import PEOPLE
+
+    assert not any(text.same_person(a, b) for a in PEOPLE for b in PEOPLE if a != b)
+    rng = random.Random(3)
+    kinds = ["tags", "folder", "swappedtags", "pdftags", "impressum", "llm"]
+    for _ in range(300):
+        votes = [(rng.choice(kinds), rng.choice(PEOPLE)) for _ in range(rng.randrange(1, 12))]
+        prior = {text.key(n): rng.randrange(6) for n in PEOPLE}
+        given = {text.name(n).given for n in rng.sample(PEOPLE, 4)}
+        snippet = "Predgovor napisao neko. " + " ".join(rng.sample(PEOPLE, 2))
+        d = voting.decide(votes, snippet, prior, "", given, [])
+        words, score = text.words_of(text.without_credits(text.fold(snippet))), {}
+        for n in dict.fromkeys(n for _, n in votes):
+            sources = {s for s, m in votes if m == n}
+            sources |= {"text"} if text.occurs(n, words) else set()
+            sources |= {"library"} if prior[text.key(n)] >= 3 else set()
+            sources |= {"name"} if text.name(n).given in given else set()
+            score[n] = sum(fixed.WEIGHTS[s] for s in sources)
+        ranked = sorted(score.items(), key=lambda x: -x[1])
+        assert d["candidates"] == ranked and d["author"] == ranked[0][0]
+        top, runner = ranked[0][1], ranked[1][1] if len(ranked) > 1 else 0
+        assert d["confidence"] == round(min(1.0, 0.5 * top / 20 + 0.5 * (top - runner) / top), 2)
+
+
+def test_coauthors():
+    ana, ivo, tom = "Ana Prva", "Ivo Drugi", "Tom Treci"
+    votes = [("tags", ana), ("tags", ivo), ("folder", ana)]
+    decide = lambda groups, given=frozenset(), more=(): voting.decide([*votes, *more], None, {}, "", given, groups)
+    assert decide([[ana, ivo, tom]])["coauthors"] == [ivo]  # nothing but the list speaks for the third
+    assert decide([[ana, ivo, tom]], {"tom"})["coauthors"] == [ivo, tom]
+    assert decide([[ivo, tom]], {"tom"})["coauthors"] == []  # a group without the author
+    assert decide([[ana, ivo], [ivo, ana, tom]], {"tom"})["coauthors"] == [ivo, tom]
+    tied = decide([[ivo, ana]], more=[("swappedtags", ivo)])
+    assert (tied["author"], tied["coauthors"]) == (ivo, [ana])
+
+
 def test_evidence():
     assert "Samanta Jang" in evidence.in_filename("/b/Samanta-Jang-Jamajska-staza.epub")
     found = evidence.in_imprint("Naslov originala: Runaway / Alice Munro")
