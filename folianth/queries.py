@@ -350,8 +350,14 @@ def scan_report(spark, sf_dir):
     return tables.flat_report(scan.scan(books(spark, sf_dir)))
 
 
-@query()
+#: The made library in SQL: a = author, t = title tag.
+BOOKS = """(SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS a, p_type || ' ' || p_brand AS t FROM part)"""
+_book = "'/lib/' || a || '/' || a || ' - ' || t || ' no ' || p_partkey || '.epub'"
+
+
+@query(f"SELECT {_book} AS path, t || ' no ' || p_partkey AS title FROM {BOOKS}")
 def decided_titles(spark, sf_dir):
+    """The file name without its author; the tag says less than it."""
     b = books(spark, sf_dir)
     return b.select("path", titles.title(F.col("path"), F.col("archive"), F.col("title"), F.array("authors")).alias("title"))
 
@@ -518,7 +524,11 @@ def name_overrides(spark, sf_dir):
     return M.override_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), rules)
 
 
-@query()
+@query(f"""SELECT {_book} AS path, t AS title_used, ['tags', 'filename', 'filename', 'folder'] AS sources, [a, a, trim(regexp_replace(t, '[0-9]+', '', 'g')) || ' no', a] AS names,
+    2::INT AS name_parts, 0::INT AS n_groups FROM {BOOKS}""")
 def gathered_candidates(spark, sf_dir):
-    """Evidence of every book of the made library."""
-    return V.gather(books(spark, sf_dir)).select("path", "title_used", "candidates", "name_parts", "groups")
+    """Evidence of every book of the made library: its tag, both parts of its file name, its folder."""
+    found = V.gather(books(spark, sf_dir))
+    return found.select(
+        "path", "title_used", F.transform("candidates", lambda c: c["source"]).alias("sources"), F.transform("candidates", lambda c: c["name"]).alias("names"), "name_parts", F.size("groups").alias("n_groups"),
+    )
