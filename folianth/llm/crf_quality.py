@@ -240,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             own, _, begin = line_features(data, at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own[:, a:b].T.tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary())], ["y", "x"])
 
-    rows = chosen.mapInArrow(features, "y int, x binary").toPandas()
+    rows = chosen.mapInArrow(K.released(features), "y int, x binary").toPandas()
     if rows["y"].nunique() < 2:
         return None
     rows = rows.sort_values(["y", "x"], kind="stable")  # not the order in which tasks end
@@ -277,7 +277,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, text: st
 
     picked = docs.select(*keep) if text in keep else docs.select(*keep, docs[text].alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:width])
-    return picked.mapInArrow(work, f"{fields}, `{names[0]}` double, `{names[1]}` int")
+    return picked.mapInArrow(K.released(work), f"{fields}, `{names[0]}` double, `{names[1]}` int")
 
 
 def accuracy(scored: pd.DataFrame, truth: pd.DataFrame, label: str) -> dict[str, float]:

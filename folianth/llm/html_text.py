@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 WINDOW = 3
 #: Characters in a window at which unmarked text surges.
 SURGE = 86
@@ -346,4 +348,4 @@ def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page
 
     picked = pages.select(*keep, F.col(page).alias("__page"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:width])
-    return picked.mapInArrow(work, f"{fields}, text string, n_chars long")
+    return picked.mapInArrow(K.released(work), f"{fields}, text string, n_chars long")

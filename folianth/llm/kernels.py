@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,30 @@ def segment_sum(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return total
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over batches, which after each gives freed memory back to the system: Spark's workers live on, idle ones beside busy ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in work(batches):
+            yield out
+            del out
+            release()
+
+    return run
+
+
 def with_columns(batch: pa.RecordBatch, keep: list[str], **more: np.ndarray | pa.Array) -> pa.RecordBatch:
     columns = [batch.column(batch.schema.get_field_index(k)) for k in keep]
     return pa.RecordBatch.from_arrays([*columns, *(v if isinstance(v, pa.Array) else pa.array(v) for v in more.values())], [*keep, *more])

@@ -128,7 +128,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str =
             i, j = np.nonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(table[i, j])], ["l", "b", "n"])
 
-    cells = known.where(drawn).select(lang, text).mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
+    cells = known.where(drawn).select(lang, text).mapInArrow(K.released(count), "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((len(names), n_buckets), 0.1)
     table[cells["l"], cells["b"]] += cells["n"]
     prior = np.log([counts[n] / sum(counts.values()) for n in names])
@@ -164,4 +164,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     picked = docs.select(*keep, docs[text].alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:width])
-    return picked.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    return picked.mapInArrow(K.released(score), f"{fields}, lang_pred string, score double")

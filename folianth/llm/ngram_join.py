@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> D
 
     picked = docs.select(F.col(row_id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(make, f"id {kind}, th bigint, n_shingles int, cls binary, sig binary, bands array<bigint>")
+    return picked.mapInArrow(K.released(make), f"id {kind}, th bigint, n_shingles int, cls binary, sig binary, bands array<bigint>")
 
 
 def least_matches(threshold: float, tolerance: float, step: int, total: int) -> list[tuple[int, int]]:
@@ -263,7 +263,7 @@ def candidate_clusters(reps: DataFrame, threshold: float, tolerance: float) -> D
 
     keys = ["bucket", "bi", "bj"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    edges = dealt.mapInArrow(lambda batches: in_groups(batches, keys, work, out), "a binary, b binary").distinct()
+    edges = dealt.mapInArrow(K.released(lambda batches: in_groups(batches, keys, work, out)), "a binary, b binary").distinct()
     return components(edges)
 
 
@@ -322,7 +322,7 @@ def links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, row_id: str, te
 
     held = texts.select("root", "blocks", F.col("__cls").alias("cls"), F.col("rows"), "sig", "n_shingles", "text")
     kinds = "root binary, blocks int, cls binary, rows bigint, sig binary, n_shingles int, shingles binary"
-    dealt = block_pairs(held.mapInArrow(shingle, kinds), "root", "blocks", "cls").drop("blocks")
+    dealt = block_pairs(held.mapInArrow(K.released(shingle), kinds), "root", "blocks", "cls").drop("blocks")
     out = pa.schema([("cls", pa.binary()), ("other", pa.binary()), ("n", pa.int64())])
 
     def once(t: pa.Table) -> pa.Table:
@@ -357,7 +357,7 @@ def links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, row_id: str, te
 
     keys = ["root", "bi", "bj"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(lambda batches: in_groups(batches, keys, work, out), "cls binary, other binary, n bigint")
+    return dealt.mapInArrow(K.released(lambda batches: in_groups(batches, keys, work, out)), "cls binary, other binary, n bigint")
 
 
 def classified(docs: DataFrame, row_id: str, text: str, threshold: float, tolerance: float) -> DataFrame:

@@ -35,9 +35,9 @@ SEQUENCE = 4096
 QUANTUM = 64
 CLOSING_ID = 2
 #: Chunks, and words, whose ids a worker remembers in a generation.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Bytes of text in which repeated chunks are looked up once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Pieces of one length that are ranked together, about; of many there are as many groups as pieces in a group.
 RANKED = 1000
 
@@ -184,7 +184,7 @@ def pieces(docs: DataFrame, path: str, sequence: int, quantum: int) -> DataFrame
             gc.enable()
 
     picked = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return picked.mapInArrow(work, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, th long, start long, length long, ids_crc32 long, doc_tokens long")
+    return picked.mapInArrow(K.released(work), f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, th long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def knapsack(lengths: np.ndarray, worth: np.ndarray, size: int) -> tuple[float, np.ndarray]:
@@ -351,7 +351,7 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, qua
             yield pa.RecordBatch.from_arrays([column("doc_id"), column("th"), pa.array(column("start").to_numpy() + skip), pa.array(part), crc, column("doc_tokens"), pa.array(number), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     kind = cut.schema["doc_id"].dataType.simpleString()
-    placed = staged(ranked(cut).select(*names, "rank").mapInArrow(place, f"doc_id {kind}, th long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"), "placed")
+    placed = staged(ranked(cut).select(*names, "rank").mapInArrow(K.released(place), f"doc_id {kind}, th long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"), "placed")
     broken = placed.where(F.col("ids_crc32").isNull()).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "length")).alias("parts"))
     # A table, whose size Spark knows when it chooses the join; there are fewer cut pieces than sequences.
     broken = staged(broken.withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__th"), "cut-documents")
@@ -370,7 +370,7 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, qua
             columns = zip(*rows) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, pa.int64()) for c in columns)], ["__id", "__th", "__start", "__length", "__crc"])
 
-    crcs = staged(joined.select("doc_id", "__th", "text", "parts").mapInArrow(again, f"__id {kind}, __th long, __start long, __length long, __crc long").distinct(), "cut-pieces")
+    crcs = staged(joined.select("doc_id", "__th", "text", "parts").mapInArrow(K.released(again), f"__id {kind}, __th long, __start long, __length long, __crc long").distinct(), "cut-pieces")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")) & (F.col("start") == F.col("__start")) & (F.col("length") == F.col("__length"))
     mended = placed.where(F.col("ids_crc32").isNull()).join(crcs, same).withColumn("ids_crc32", F.col("__crc"))
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import kernels as K
+
 # Fixed values of the TIFF 6.0 specification and its supplements: tags, compressions, value types.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
@@ -330,7 +332,7 @@ def text_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
     picked = docs.select(*names, docs[text].alias("__text"))
     schema = T.StructType([*picked.schema.fields[: len(names)], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return picked.mapInArrow(store, schema)
+    return picked.mapInArrow(K.released(store), schema)
 
 
 def describe(samples: np.ndarray) -> str:
@@ -396,4 +398,4 @@ def tiff_pages(media: DataFrame, content: str = "media", keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*[c.take(take) for c in batch.columns[: len(names)]], *columns], [*names, *[f.name for f in fields]])
 
     picked = media.select(*names, media[content].alias("__content"))
-    return picked.mapInArrow(read, T.StructType([*picked.schema.fields[: len(names)], *fields]))
+    return picked.mapInArrow(K.released(read), T.StructType([*picked.schema.fields[: len(names)], *fields]))

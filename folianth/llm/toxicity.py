@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     rows = {r[0]: r[1] for r in chosen.groupBy("y").count().collect()}
     if len(rows) < 2:
         return None
-    counts = chosen.mapInArrow(held, "y int, b int, n long").groupBy("b").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(c) for y, c in ((0, "clean"), (1, "toxic"))))
+    counts = chosen.mapInArrow(K.released(held), "y int, b int, n long").groupBy("b").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(c) for y, c in ((0, "clean"), (1, "toxic"))))
     counts = counts.where(F.col("toxic") >= MIN_ROWS).toPandas()  # BUCKETS rows at most
     names, ratio = use(*(np.bincount(counts["b"], counts[c], minlength=BUCKETS) for c in ("toxic", "clean")), rows[1], rows[0])
     number = np.full(BUCKETS, -1, np.int32)
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
                 pa.array([int(s[-1]) + 1 if len(s) else 0 for s in numbered], pa.int32()),
             ], ["y", "b", "s", "n"])
 
-    found = chosen.mapInArrow(extract, "y int, b binary, s binary, n int").toPandas()
+    found = chosen.mapInArrow(K.released(extract), "y int, b binary, s binary, n int").toPandas()
     found = found.sort_values(["y", "n", "b", "s"], kind="stable")  # not the order in which tasks end
     begin = np.concatenate([[0], np.cumsum(found["n"])])
     local = np.frombuffer(b"".join(found["b"]), np.int32)
@@ -202,4 +202,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text: str = "
 
     picked = docs.select(*keep, docs[text].alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:width])
-    return picked.mapInArrow(work, f"{fields}, score double, predicted int, worst double, worst_at long, worst_len long")
+    return picked.mapInArrow(K.released(work), f"{fields}, score double, predicted int, worst double, worst_at long, worst_len long")

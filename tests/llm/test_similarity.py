@@ -7,7 +7,7 @@ import numpy as np
 from folianth.llm import ngram_join as J
 from folianth.operators.components import components
 
-from .common import documents, empty, rows, words
+from .common import HAVE, SF, documents, empty, rows, words
 
 
 def shingles(t):
@@ -106,3 +106,43 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_documents_equal_brute_force(spark):
+    """All links of the driver's documents, long and hot ones among them."""
+    if not HAVE:
+        return
+    df = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text")
+    data = [tuple(r) for r in df.collect()]
+    assert Counter(map(tuple, J.similarity_classes(df).collect())) == plain(data)
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16",
+}
+
+
+def test_a_hub_of_all_nodes_is_split(spark):
+    """A star of 30,000 nodes: the executed plans split the joins on its centre."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    old = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(1, 30_000).selectExpr("id AS a", "0L AS b").union(spark.range(50_000, 80_000).selectExpr("id AS a", "id + 100000 AS b"))
+        got = components(edges).groupBy("root").count().orderBy("root").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert (got[0].root, got[0]["count"]) == (0, 30_000) and len(got) == 30_001
+    plans = store.executionsList()
+    after = [plans.apply(i).physicalPlanDescription() for i in range(plans.size())][int(before) :]
+    assert sum("skew=true" in p for p in after) >= 2
+
+
+def test_blocks_of_large_groups():
+    """Small groups keep their blocks; of large ones each text is copied for fewer pairs of blocks."""
+    side = lambda n: max(J.BLOCK, min(J.LARGEST_BLOCK, J.BLOCK_GROWTH * n**0.5))
+    assert [round(side(n)) for n in (10, 4096, 65_536, 1_000_000)] == [256, 256, 1024, 2048]
