@@ -140,6 +140,7 @@ def _plan(spark: SparkSession, args: argparse.Namespace) -> int:
         append("renames", moved.where("error is null").select(F.col("src").alias("renamed"), "to").join(plan.select(F.col("path").alias("renamed"), "title"), "renamed"), ["renamed"])
     elif args.verb == "undo" and execute:
         staging.staged(executors.undo(plan), "undone")
+        staging.staged(executors.prune(spark, args.output), "pruned")
         tables.retire_log(spark, f"{args.output}/moves.log")
     return 0
 

@@ -118,9 +118,15 @@ def candidate_pairs(names: DataFrame, spelling: str = "name") -> DataFrame:
     return left.join(right, "block").where((F.col("a") < F.col("b")) & may_match("la", "lb")).select("a", "b").distinct()
 
 
+def directed_pairs(names: DataFrame, spelling: str = "name") -> DataFrame:
+    """(a, b, ab, ba) of distinct spellings, a before b: whether same_person holds from a to b and from b to a, one at least."""
+    both = candidate_pairs(names, spelling).select("a", "b", same_person_udf("a", "b").alias("ab"), same_person_udf("b", "a").alias("ba"))
+    return both.where(F.col("ab") | F.col("ba"))
+
+
 def same_person_pairs(names: DataFrame, spelling: str = "name") -> DataFrame:
     """(a, b) of distinct spellings, a before b, where same_person holds in either direction."""
-    return candidate_pairs(names, spelling).where(same_person_udf("a", "b") | same_person_udf("b", "a"))
+    return directed_pairs(names, spelling).select("a", "b")
 
 
 def spellings_by_key(names: DataFrame) -> DataFrame:
@@ -137,14 +143,15 @@ def canonical_spellings(names: DataFrame) -> DataFrame:
 
     Spellings of one key are a group. Groups go by size, then place; each joins the first person one of
     whose spellings its own first spelling names. A group joins only along such a pair, so people
-    never cross the connected components of pairs and each component is worked alone.
+    never cross the connected components of pairs and each component is worked alone, in time that grows with its
+    pairs: whom a spelling names is known from them.
     """
     groups = staged(spellings_by_key(names), "spellings")
-    every = groups.select(F.explode("spellings.name").alias("name"))
-    pairs = same_person_pairs(every)
-    edges = pairs.select(C.key("a").alias("a"), C.key("b").alias("b"))
-    tied = components(edges)
-    placed = groups.join(tied, groups["key"] == tied["node"], "left").withColumn("root", F.coalesce("root", "key"))
+    pairs = staged(directed_pairs(groups.select(F.explode("spellings.name").alias("name"))), "pairs")
+    tied = components(pairs.select(C.key("a").alias("a"), C.key("b").alias("b")))
+    named = pairs.where("ab").select(F.col("a").alias("first"), F.col("b").alias("other")).union(pairs.where("ba").select("b", "a"))
+    named = named.groupBy("first").agg(F.collect_set("other").alias("named"))
+    placed = groups.join(tied, groups["key"] == tied["node"], "left").withColumn("root", F.coalesce("root", "key")).join(named, "first", "left")
 
     def rank(row) -> tuple:
         place = row.place
@@ -152,13 +159,15 @@ def canonical_spellings(names: DataFrame) -> DataFrame:
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         people: list[dict[str, int]] = []
+        owner: dict[str, int] = {}
         for row in sorted(pdf.itertuples(), key=rank):
-            counts = {s["name"]: int(s["n"]) for s in row.spellings}
-            home = next((p for p in people if any(same_person(row.first, x) for x in p)), None)
-            if home is None:
-                people.append(home := {})
-            for s, k in counts.items():
-                home[s] = home.get(s, 0) + k
+            homes = [owner[x] for x in (row.named if row.named is not None else ()) if x in owner]
+            home = min(homes, default=len(people))
+            if home == len(people):
+                people.append({})
+            for s in row.spellings:
+                people[home][s["name"]] = people[home].get(s["name"], 0) + int(s["n"])
+                owner[s["name"]] = home
         return pd.DataFrame([(s, best_spelling(p)) for p in people for s in p], columns=["name", "canonical"])
 
     return placed.groupBy("root").applyInPandas(merge, "name string, canonical string")

@@ -12,7 +12,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folianth.operators.components import components
@@ -128,6 +128,26 @@ def write_genres(plan: DataFrame, write: Callable[[str, list[str]], str | None]
     return plan.mapInPandas(run, f"{fields}, error string")
 
 
+def prune(spark: SparkSession, root: str) -> DataFrame:
+    """Removes folders below ``root`` that hold no file, leftovers of file managers aside: removed (path), deepest first in each top folder; tops go side by side, ``root`` stays."""
+    tops = spark.createDataFrame([(x.path,) for x in os.scandir(_local(root)) if x.is_dir(follow_symlinks=False)], "top string")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            removed = []
+            for top in frame["top"]:
+                for folder, _, _ in os.walk(top, topdown=False):
+                    names = os.listdir(folder)
+                    if all(n in (".DS_Store", "Thumbs.db") for n in names):
+                        for n in names:
+                            os.unlink(os.path.join(folder, n))
+                        os.rmdir(folder)
+                        removed.append(folder)
+            yield pd.DataFrame({"removed": removed}, dtype=object)
+
+    return tops.repartition("top").mapInPandas(run, "removed string")
+
+
 def undo(steps: DataFrame, tag: Callable[[str, list[str], str | None], str | None] = tag) -> DataFrame:
     """Carries out ``actions.undo``: seq, step, src, to, error.
 

@@ -540,3 +540,15 @@ def test_command_line_resumes_and_undoes(spark, tmp_path):
     assert cli.main(["undo", "--output", str(out), "--plan", plan, "--execute"]) == 0
     assert (lib / "Ana Lee - One.dat").exists() and not (out / "Ana Lee" / "Ana Lee - One.epub").exists()
     assert (out / "moves.undone.log").exists() and not (out / "moves.log").exists()
+    assert not (out / "Ana Lee").exists() and not (out / "_Originals").exists()
+
+
+def test_pruning_keeps_what_holds_a_file(spark, tmp_path):
+    from folianth.plans import executors
+
+    for x in ("a/b/c", "a/d", "e/f", "g"):
+        (tmp_path / x).mkdir(parents=True)
+    (tmp_path / "a" / "d" / "book.epub").write_bytes(b"x")
+    (tmp_path / "e" / "f" / ".DS_Store").write_bytes(b"x")
+    gone = {os.path.relpath(r.removed, tmp_path) for r in executors.prune(spark, str(tmp_path)).collect()}
+    assert gone == {"a/b/c", "a/b", "e/f", "e", "g"} and (tmp_path / "a" / "d" / "book.epub").exists()
