@@ -92,6 +92,8 @@ def _is_out(name: str, attributes: str, inside: bool) -> tuple[bool, int, str]:
             if key in ("class", "id"):
                 if name not in ("body", "html", "article", "main"):
                     named = named or _names_out(value)
+                elif name == "article" and any(_name.findall(x)[:1] == ["comment"] for x in value.split()):
+                    named = "talk"  # comments are articles of their own
             elif key == "role":
                 out, mark = out or value in ROLES_OUT, max(mark, value == "main")
             elif key == "itemprop":
@@ -209,12 +211,18 @@ def _solid(text: str) -> int:
     return len(" ".join(text.split()))
 
 
-def marked(lines: list[Line]) -> int:
-    """The mark that tells the article: 2 unless ``main`` holds more text outside of articles, then 1; 0 on a page without."""
+def marked(lines: list[Line], parts: list[Part]) -> int:
+    """The mark that tells the article: 2 unless ``main`` holds more text outside of articles, then 1; 0 on a page without.
+
+    Text of no part tells it, or else that of parts that aren't reader comments.
+    """
+    talk = [False] * (len(parts) + 1)  # the last is for text of no part
+    for i, p in enumerate(parts):
+        talk[i] = p.kind == "talk" or talk[p.parent]
     for any_part in (False, True):
         sums = [0, 0, 0]
         for x in lines:
-            sums[x.mark] += sum(_solid(t) for t, part, _ in x.chunks if any_part or part < 0)
+            sums[x.mark] += sum(_solid(t) for t, part, _ in x.chunks if part < 0 or any_part and not talk[part])
         if sums[1] or sums[2]:
             return 2 if sums[2] >= sums[1] else 1
     return 0
@@ -308,7 +316,7 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = SURGE) ->
     if not page:
         return ""
     lines, parts = parse(page)
-    mark = marked(lines)
+    mark = marked(lines, parts)
     whole = kept_parts(lines, parts, mark)
     whole.add(-1)
     shown = [True] * (len(parts) + 1)  # the last is for chunks of no part

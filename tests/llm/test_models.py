@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folianth.llm import crf_quality, kernels, langid, toxicity
 
@@ -288,3 +289,18 @@ def test_held_out_accuracy(spark):
     both = queries.QUERIES["op6_language_id"](spark, DATA).toPandas().merge(docs, on="doc_id")
     both = both[both["held_out"]]
     assert (both["lang"] == both["lang_pred"]).mean() >= 0.97
+
+
+def test_samples_are_bounded(spark):
+    """By rows and by cost, in an order that ids alone decide; repeated rows count once, and costly documents keep none out."""
+    from folianth.llm.sampling import labelled
+
+    data = [(i, f"text {i} " * (i % 5 + 1)) for i in range(300)] + [(7, "text 7 " * 3)] * 500 + [(400, "x" * 5000), (None, "y")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(401)], "doc_id long, y int")
+    cost = F.char_length("text")
+    chosen = lambda d, rows, most: sorted(tuple(r) for r in labelled(d, known, "s", rows, cost, most).collect())
+    assert 20 < len(chosen(docs, 50, 10**6)) <= 50 and len(set(chosen(docs, 1000, 10**6))) == len(chosen(docs, 1000, 10**6)) == 301
+    some = chosen(docs, 1000, 2000)
+    assert 1000 < sum(len(t) for _, t in some) <= 2000 and all(len(t) <= 100 for _, t in some)
+    assert chosen(docs.repartition(5, "text"), 1000, 2000) == some and chosen(docs, 1000, 10) == []

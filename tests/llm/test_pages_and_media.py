@@ -157,6 +157,12 @@ def test_awkward_pages(spark):
     assert sorted(got) == [(1, n, 29_999), (1, n, 29_999), (2, 0, 0), (3, 0, 0)]
 
 
+def test_comments_that_are_articles():
+    comments = "".join(f"<article id='comment-{i}' class='comment even'><p>{LONG}{i}</p></article>" for i in range(5))
+    for article in (f"<article class='post'><h1>Head</h1><p>{LONG}</p></article>", f"<main><h1>Head</h1><p>{LONG}</p></main>", f"<div><h1>Head</h1><p>{LONG}</p></div>"):
+        assert html_text.main_text(f"<body>{article}<div>{comments}</div></body>").split("\n") == ["Head", LONG.strip()]
+
+
 def test_formulas_and_objects_stay():
     math = "<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math>"
     assert html_text.main_text(f"<article><p>So {math} holds.</p><object data='a'><p>A chart</p></object></article>") == "So x=1 holds.\nA chart"
