@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from folianth.functions import columns as C
 from folianth.functions.text import best_spelling, initial, name, same_person, skeleton, sound
-from folianth.sources.staging import staged
+from folianth.sources.staging import spread, staged
 
 from .components import components
 
@@ -113,9 +113,10 @@ def may_match(left: str, right: str) -> Column:
 
 def candidate_pairs(names: DataFrame, spelling: str = "name") -> DataFrame:
     """(a, b) of distinct spellings, a before b, that share a block."""
-    distinct = names.select(F.col(spelling).alias("n")).where(F.col("n").isNotNull()).distinct()
+    distinct = spread(names.select(F.col(spelling).alias("n")).where(F.col("n").isNotNull()), "n").distinct()
     left, right = in_blocks(distinct.withColumnRenamed("n", "a"), "a", "la"), in_blocks(distinct.withColumnRenamed("n", "b"), "b", "lb")
-    return left.join(right, "block").where((F.col("a") < F.col("b")) & may_match("la", "lb")).select("a", "b").distinct()
+    # Python compares the pairs that are left, a core each; the exchange by pair also makes them distinct.
+    return spread(left.join(right, "block").where((F.col("a") < F.col("b")) & may_match("la", "lb")).select("a", "b"), "a", "b").distinct()
 
 
 def directed_pairs(names: DataFrame, spelling: str = "name") -> DataFrame:

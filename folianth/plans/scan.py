@@ -14,7 +14,7 @@ from folianth.operators import matching as M
 from folianth.operators import titles
 from folianth.operators import voting as V
 from folianth.plans import actions
-from folianth.sources.staging import staged
+from folianth.sources.staging import few_bytes, spread, staged
 
 
 def _all_names(decided: DataFrame) -> DataFrame:
@@ -38,7 +38,9 @@ def scan(books: DataFrame, answers: DataFrame | None = None, picks: DataFrame |
     named = V.mentions(records)
     seed = V.seed_names(spark) if given is None else V.seed_names(spark).union(given.select("given")).distinct()
     trusted = staged(V.given_names(named, seed), "given")
-    records = V.decide(V.with_priors(records, V.library_prior(named), trusted))
+    small = few_bytes(records)  # then the joins below leave a partition or two, and the vote is Python
+    ready = V.with_priors(records, V.library_prior(named), trusted)
+    records = V.decide(spread(ready, "path") if small else ready)
     if answers is not None:
         records = V.decide(V.add_answers(staged(records, "first-vote"), answers, "llm", ~V.settled()))
     records = staged(records, "votes")

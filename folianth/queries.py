@@ -337,7 +337,7 @@ def canonical_spellings(spark, sf_dir):
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A library made of the tables: suppliers' nations as folders, part names as authors and titles, documents as text; a part without a document is a book without text."""
-    part = table(spark, sf_dir, "part")
+    part = staging.spread(table(spark, sf_dir, "part"), "p_partkey")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), F.substring("text", 1, TEXT_CHARS).alias("snippet"))
     author, title = C.tidy_name("p_name"), F.concat_ws(" ", "p_type", "p_brand")
     path = F.concat(F.lit("/lib/"), author, F.lit("/"), author, F.lit(" - "), title, F.lit(" no "), F.col("p_partkey").cast("string"), F.lit(".epub"))

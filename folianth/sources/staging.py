@@ -36,6 +36,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals rows out over all cores (by ``keys``), for row-wise Python work on tables of few bytes, which would else be one task."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *keys)
+
+
+def few_bytes(df: DataFrame) -> bool:
+    """Whether a table that is read from files is too small to have a partition of some size for each core."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size < df.sparkSession.sparkContext.defaultParallelism * (16 << 20)
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
