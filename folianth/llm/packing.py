@@ -35,9 +35,9 @@ SEQUENCE = 4096
 QUANTUM = 64
 CLOSING_ID = 2
 #: Chunks, and words, whose ids a worker remembers in a generation.
-REMEMBERED = 120_000
+REMEMBERED = 250_000
 #: Bytes of text in which repeated chunks are looked up once.
-SLICE = 2 << 20
+SLICE = 4 << 20
 #: Pieces of one length that are ranked together, about; of many there are as many groups as pieces in a group.
 RANKED = 1000
 
