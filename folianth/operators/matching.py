@@ -27,15 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folianth.functions import columns as C
+from folianth.functions.rowwise import rowwise
 from folianth.functions.text import best_spelling, initial, name, same_person, skeleton, sound
 from folianth.sources.staging import spread, staged
 
 from .components import components
 
 
-@F.pandas_udf(T.BooleanType())
-def same_person_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([x is not None and y is not None and same_person(x, y) for x, y in zip(a, b)])
+@rowwise(T.BooleanType())
+def same_person_udf(a, b):
+    return a is not None and b is not None and same_person(a, b)
 
 
 #: Letters from rare to frequent, so that few words share the first of a word's.
@@ -57,7 +58,7 @@ def _partner_lengths(n: int) -> tuple[tuple[int, int, bool], ...]:
     return tuple(out)
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 12)
 def word_blocks(word: str) -> frozenset[str]:
     """Blocks of which two words at least CLOSEST alike share one.
 
@@ -96,9 +97,9 @@ def name_blocks(raw: str) -> dict[str, tuple[int, ...]]:
 _block_type = T.ArrayType(T.StructType([T.StructField("block", T.StringType()), T.StructField("letters", T.ArrayType(T.IntegerType()))]))
 
 
-@F.pandas_udf(_block_type)
-def blocks_udf(a: pd.Series) -> pd.Series:
-    return a.map(lambda x: [] if x is None else [{"block": k, "letters": list(v)} for k, v in sorted(name_blocks(x).items())])
+@rowwise(_block_type)
+def blocks_udf(raw):
+    return [] if raw is None else [{"block": k, "letters": list(v)} for k, v in sorted(name_blocks(raw).items())]
 
 
 def in_blocks(names: DataFrame, spelling: str, side: str) -> DataFrame:

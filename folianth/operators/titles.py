@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folianth.functions import titling
+from folianth.functions.rowwise import rowwise
 
 
-@F.pandas_udf(T.StringType())
-def decide_title_udf(path: pd.Series, archive: pd.Series, tag: pd.Series, authors: pd.Series) -> pd.Series:
-    return pd.Series([titling.decide_title(p, a, t, [x for x in names if x]) for p, a, t, names in zip(path, archive, tag, authors)])
+@rowwise(T.StringType())
+def decide_title_udf(path, archive, tag, authors):
+    return titling.decide_title(path, archive, tag, [x for x in authors if x])
 
 
 def title(path: Column, archive: Column, tag: Column, *authors: Column) -> Column:
