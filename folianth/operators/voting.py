@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +9,7 @@ from pyspark.sql import types as T
 from folianth.functions import columns as C
 from folianth.functions import voting as V
 from folianth.functions.evidence import gather as gather_one
+from folianth.functions.rowwise import rowwise
 from folianth.functions.text import FIRST_NAMES, any_same, fold, latin, occurs, without_credits, words_of
 from folianth.functions import fixed
 from folianth.functions.evidence import stem
@@ -22,13 +22,10 @@ RANKED = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.Stru
 DECISION = T.StructType([T.StructField("author", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("sources", _strings), T.StructField("candidates", RANKED), T.StructField("coauthors", _strings)])
 
 
-@F.pandas_udf(EVIDENCE)
-def _gather(path: pd.Series, archive: pd.Series, format: pd.Series, title: pd.Series, authors: pd.Series, snippet: pd.Series, llm: pd.Series) -> pd.DataFrame:
-    rows = []
-    for args in zip(path, archive, format, title, authors, snippet, llm):
-        g = gather_one(*args)
-        rows.append((g["title"], [{"source": s, "name": n} for s, n in g["candidates"]], g["name_parts"], g["groups"]))
-    return pd.DataFrame(rows, columns=["title_used", "candidates", "name_parts", "groups"])
+@rowwise(EVIDENCE)
+def _gather(*book):
+    g = gather_one(*book)
+    return {"title_used": g["title"], "candidates": [{"source": s, "name": n} for s, n in g["candidates"]], "name_parts": g["name_parts"], "groups": g["groups"]}
 
 
 def gather(books: DataFrame) -> DataFrame:
@@ -38,16 +35,13 @@ def gather(books: DataFrame) -> DataFrame:
     return made.select(*books.columns, "e.title_used", "e.candidates", "e.name_parts", "e.groups")
 
 
-@F.pandas_udf(T.BooleanType())
-def _agrees(candidates: pd.Series, snippet: pd.Series) -> pd.Series:
-    def one(found, text) -> bool:
-        folder = [c["name"] for c in found if c["source"] == "folder"]
-        if not folder:
-            return False
-        others = [c["name"] for c in found if c["source"] in ("filename", "tags", "pdftags", "impressum")]
-        return any_same(folder[0], others) or occurs(folder[0], words_of(without_credits(fold(text))))
-
-    return pd.Series([one(c, s) for c, s in zip(candidates, snippet)])
+@rowwise(T.BooleanType())
+def _agrees(candidates, snippet):
+    folder = [c["name"] for c in candidates if c["source"] == "folder"]
+    if not folder:
+        return False
+    others = [c["name"] for c in candidates if c["source"] in ("filename", "tags", "pdftags", "impressum")]
+    return any_same(folder[0], others) or occurs(folder[0], words_of(without_credits(fold(snippet))))
 
 
 def folder_vote(df: DataFrame, group: str, has_folder: str, agrees: str) -> DataFrame:
@@ -87,14 +81,10 @@ def seed_names(spark) -> DataFrame:
     return spark.createDataFrame([(x,) for x in sorted(FIRST_NAMES)], "given string")
 
 
-@F.pandas_udf(DECISION)
-def _decide(candidates: pd.Series, snippet: pd.Series, title: pd.Series, groups: pd.Series, keys: pd.Series, given: pd.Series) -> pd.DataFrame:
-    rows = []
-    for found, text, tag, lists, known, trusted in zip(candidates, snippet, title, groups, keys, given):
-        pairs = [(c["source"], c["name"]) for c in found]
-        d = V.decide(pairs, text, dict.fromkeys(known, 3), tag, frozenset(trusted), [list(g) for g in lists])
-        rows.append((d["author"], d["confidence"], d["sources"], [{"name": n, "score": s} for n, s in d["candidates"]], d["coauthors"]))
-    return pd.DataFrame(rows, columns=["author", "confidence", "sources", "candidates", "coauthors"])
+@rowwise(DECISION)
+def _decide(candidates, snippet, title, groups, known, given):
+    d = V.decide([(c["source"], c["name"]) for c in candidates], snippet, dict.fromkeys(known, 3), title, frozenset(given), groups)
+    return d | {"candidates": [{"name": n, "score": s} for n, s in d["candidates"]]}
 
 
 def with_priors(records: DataFrame, prior: DataFrame, given: DataFrame) -> DataFrame:
@@ -146,9 +136,7 @@ def caps_suspect(author: str | None, path: str, archive: str | None, snippet: st
     return author.upper() in head.upper() and any(len(w) > 2 and w.isupper() and fold(w) in own for w in head.split())
 
 
-@F.pandas_udf(T.BooleanType())
-def caps_suspect_udf(author: pd.Series, path: pd.Series, archive: pd.Series, snippet: pd.Series, candidates: pd.Series, parts: pd.Series) -> pd.Series:
-    return pd.Series([caps_suspect(*x) for x in zip(author, path, archive, snippet, candidates, parts)])
+caps_suspect_udf = rowwise(T.BooleanType())(caps_suspect)
 
 
 def is_anthology(path, title, authors, snippet):
