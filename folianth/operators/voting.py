@@ -13,6 +13,7 @@ from folianth.functions.rowwise import rowwise
 from folianth.functions.text import FIRST_NAMES, any_same, fold, latin, occurs, without_credits, words_of
 from folianth.functions import fixed
 from folianth.functions.evidence import stem
+from folianth.sources.staging import staged
 
 _strings = T.ArrayType(T.StringType())
 # Objects, not type strings: workers import this module and have no session to parse with.
@@ -64,9 +65,22 @@ def mentions(records: DataFrame) -> DataFrame:
     return records.select("path", F.posexplode("candidates").alias("place", "c")).select("path", "c.source", "c.name", "place")
 
 
+def books_by_key(listed: DataFrame) -> DataFrame:
+    """key, n: books that hold each key, from rows of (book, keys).
+
+    Keys of a book that has one row are made distinct in it, so they are only added up; no pair of book and key is dealt
+    out. Those of books with several rows, whose ids are found beforehand, are.
+    """
+    several = staged(listed.groupBy("book").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("book").alias("again")), "several")
+    told = listed.join(several.withColumn("__yes", F.lit(True)), F.col("book").eqNullSafe(F.col("again")), "left")
+    pairs = told.select(F.when(F.col("__yes"), F.struct("book")).alias("shared"), F.explode(F.array_distinct("keys")).alias("key"))
+    counted = pairs.groupBy("shared", "key").agg(F.count("*").alias("n"))
+    return counted.groupBy("key").agg(F.sum(F.when(F.col("shared").isNull(), F.col("n")).otherwise(1)).alias("n"))
+
+
 def library_prior(named: DataFrame, book: str = "path", spelling: str = "name") -> DataFrame:
     """key, n: books that mention each name, in any order of its words."""
-    return named.select(book, C.key(spelling).alias("key")).distinct().groupBy("key").agg(F.count("*").alias("n"))
+    return books_by_key(named.select(F.col(book).alias("book"), F.array(C.key(spelling)).alias("keys")))
 
 
 def given_names(named: DataFrame, seed: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def scan(books: DataFrame, answers: DataFrame | None = None, picks: DataFrame |
     seed = V.seed_names(spark) if given is None else V.seed_names(spark).union(given.select("given")).distinct()
     trusted = staged(V.given_names(named, seed), "given")
     small = few_bytes(records)  # then the joins below leave a partition or two, and the vote is Python
-    ready = V.with_priors(records, V.library_prior(named), trusted)
+    mentioned = records.select(F.col("path").alias("book"), F.transform("candidates", lambda c: C.key(c["name"])).alias("keys"))
+    ready = V.with_priors(records, V.books_by_key(mentioned), trusted)
     records = V.decide(spread(ready, "path") if small else ready)
     if answers is not None:
         records = V.decide(V.add_answers(staged(records, "first-vote"), answers, "llm", ~V.settled()))

@@ -50,3 +50,12 @@ def test_books_are_all_parts(spark, tmp_path):
     spark.createDataFrame([(1, "a text")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.snippet for r in queries.books(spark, str(tmp_path)).collect()} == {"a text", None}
     assert queries.decided_titles(spark, str(tmp_path)).count() == 2
+
+
+def test_library_prior_deals_out_no_pairs_of_document_and_word(spark, tmp_path):
+    rows = [(1, "Ana ana LEE"), (2, "ana"), (2, "ana bo"), (2, None), (3, "ana lee"), (None, "lee"), (None, "lee bo"), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.library_prior(spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == {("ana", 3), ("lee", 3)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" not in plan and "hashpartitioning(shared" in plan
